@@ -1,0 +1 @@
+"""Operations of large text corpora; nothing else in the library imports this subpackage."""
