@@ -43,3 +43,20 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     from stratavec.llm.packing import pack
 
     return pack(table(spark, d, "documents"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    from stratavec.llm.common import remainder
+    from stratavec.llm.language import fit, identify, training_rows
+
+    docs = table(spark, d, "documents")
+    out = identify(docs, fit(training_rows(docs)))
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "known")
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    from stratavec.llm.decontamination import overlaps
+
+    return overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"))
