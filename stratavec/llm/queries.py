@@ -60,3 +60,29 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     from stratavec.llm.decontamination import overlaps
 
     return overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    from stratavec.llm import toxicity as t
+    from stratavec.llm.common import remainder
+
+    docs = table(spark, d, "documents")
+    out = t.score(docs, t.fit(t.training_rows(docs, table(spark, d, "labels"))))
+    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= t.THRESHOLD).cast("int").alias("predicted"))
+
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5"""
+
+
+@query("op5_topk", TOPK_SQL)
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    from stratavec.llm.topk import quantised, top_k
+
+    v = quantised(table(spark, d, "embeddings"))
+    return top_k(v, v.where("vec_id % 50 = 0"), 5)
