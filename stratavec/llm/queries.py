@@ -86,3 +86,19 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
 
     v = quantised(table(spark, d, "embeddings"))
     return top_k(v, v.where("vec_id % 50 = 0"), 5)
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    from stratavec.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, d, "documents"), b"a key for these tables").select("doc_id", F.size("entities").alias("n_entities"), "text")
+
+
+@query("op4_secrets")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    from stratavec.llm.secrets import frequent_words, labelled_findings, scan, train
+
+    docs = table(spark, d, "documents")
+    dictionary = frequent_words(docs)
+    return scan(docs, train(labelled_findings(), dictionary), dictionary)
