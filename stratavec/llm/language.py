@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import mix, remainder, sampled, stored, texts
+from stratavec.llm.common import mix, remainder, stored, texts
 
 SIZES = (2, 3, 4)  # n-gram lengths
 ROWS = 1 << 20
@@ -142,10 +143,8 @@ def fit(docs: DataFrame) -> Model:
     languages = sorted(sizes)
     if not languages:
         return Model([], [], np.zeros(0), None)
-    parts = [sampled(own.where(F.col("lang") == x), FIT_DOCUMENTS, sizes[x]) for x in languages]
-    chosen = own.where(F.lit(False))
-    for p in parts:
-        chosen = chosen.union(p)
+    share = [(F.col("lang") == x) & (F.pmod(F.xxhash64("doc_id", F.lit(977)), F.lit(1 << 20)) < int((1 << 20) * min(1, FIT_DOCUMENTS / n))) for x, n in sizes.items()]
+    chosen = own.where(reduce(or_, share))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
