@@ -102,3 +102,10 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     dictionary = frequent_words(docs)
     return scan(docs, train(labelled_findings(), dictionary), dictionary)
+
+
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    from stratavec.llm.jaccard_join import similar_components
+
+    return similar_components(table(spark, d, "documents"))
