@@ -30,7 +30,7 @@ PERCENT = 90
 SAMPLE = 4096  # documents that the cost of allocations is measured on
 FALSE_PARTNER = 4.0  # cost of a false partner, in signatures
 SKETCH = 1024  # bits of a parity sketch
-BLOCK = 4096  # sets of a group that one task compares with as many others
+SMALL_BLOCK, BLOCK = 256, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
 PARTNERS = 16  # pairs that a set proposes in a round, in a block; the next round brings the rest
 CHUNK = 1 << 20  # shingles handled at once
 ID_FILTER = 26  # bits of the filter of documents in groups, as a power of two
@@ -337,7 +337,8 @@ def proposals(groups: DataFrame, labels: DataFrame, refused: DataFrame, sets: Da
     members = groups.union(groups.select("pivot", F.col("pivot").alias("doc_id"))).distinct()
     members = stored(members.join(labels, "doc_id", "left").select("pivot", "doc_id", label), "members")
     open_groups = members.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    size = F.greatest(F.least(F.col("n") / 32, F.lit(float(BLOCK))), F.lit(float(min(SMALL_BLOCK, BLOCK))))
+    blocks = F.ceil(F.col("n") / size).cast("int")
     placed = members.join(stored(open_groups.select("pivot", blocks.alias("blocks")), "open"), "pivot")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     no = refused.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("no"))
