@@ -109,3 +109,14 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
     from stratavec.llm.jaccard_join import similar_components
 
     return similar_components(table(spark, d, "documents"))
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    from stratavec.llm import hmm
+    from stratavec.llm.common import remainder
+
+    docs = table(spark, d, "documents")
+    model, v, counts = hmm.fit(docs.where(remainder(7) != 2))
+    out = hmm.score(docs, model, v, counts)
+    return out.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("bigint").alias("train_tokens"), "base_score", "score")
