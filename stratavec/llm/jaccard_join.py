@@ -180,42 +180,49 @@ def allocation(docs: DataFrame, bands: Bands, n: int, total: int) -> dict[int, i
     return {r["band"]: r["twos"] for r in rows.groupBy("band").applyInPandas(measure, "band bigint, twos bigint").collect()}
 
 
-def sets_of(docs: DataFrame, bands: Bands, plan: dict[int, int], n: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set, its signatures."""
+def _set_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """128-bit hashes of sets, as n x 2 signed numbers."""
+    return np.array([[mix(x ^ np.uint64(s)).sum(dtype=np.uint64) for s in (0x51, 0xA7)] for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+
+
+def sets_of(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles and a 128-bit hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _chunks(batches, n):
-            sigs = all_signatures(sets, bands, plan)
-            h = np.array([[mix(x ^ np.uint64(s)).sum(dtype=np.uint64) for s in (0x51, 0xA7)] for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), _lists(sigs)], ["doc_id", "n_shingles", "h1", "h2", "sigs"])
+            h = _set_hashes(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "n_shingles", "h1", "h2"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sigs array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint")
 
 
-def groups_of(nodes: DataFrame) -> DataFrame:
+def groups_of(docs: DataFrame, bands: Bands, plan: dict[int, int], n: int) -> DataFrame:
     """(pivot, doc_id): who shares a signature with the smallest document that has it.
 
-    Tasks hand on one row for each of their signatures, with all documents that have it, so a signature that many
-    documents share comes in few rows.
+    Tasks hand on one row for each of their signatures, with all documents that have it, and equal sets once, so
+    what many documents share comes in few rows.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, sigs, held = [], [], 0
+        docs, sigs, held, seen = [], [], 0, set()
 
         def out() -> pa.RecordBatch:
-            d, s = np.concatenate(docs), np.concatenate(sigs)
+            d, s = np.concatenate(docs), np.concatenate(sigs).view(np.int64)
             order = np.lexsort((d, s))
             d, s = d[order], s[order]
             start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             members = pa.ListArray.from_arrays(pa.array(np.append(start, len(s)).astype(np.int32)), pa.array(d))
             return pa.RecordBatch.from_arrays([pa.array(s[start]), members], ["sig", "docs"])
 
-        for batch in batches:
-            lists = batch.column(1)
-            flat = np.asarray(lists.flatten())
-            docs.append(np.repeat(np.asarray(batch.column(0)), np.asarray(lists.value_lengths())))
-            sigs.append(flat)
-            held += len(flat)
+        for ids, sets in _chunks(batches, n):
+            keys = [h.tobytes() for h in _set_hashes(sets)]
+            fresh = [k for k, key in enumerate(keys) if len(sets[k]) and not (key in seen or seen.add(key))]
+            if len(seen) > CHUNK:
+                seen.clear()
+            own = all_signatures([sets[k] for k in fresh], bands, plan)
+            docs.append(np.repeat(np.array([ids[k] for k in fresh], np.int64), [len(x) for x in own]))
+            sigs += own
+            held += len(docs[-1])
             if held >= 4 * CHUNK:
                 yield out()
                 docs, sigs, held = [], [], 0
@@ -240,7 +247,7 @@ def groups_of(nodes: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([p, flat], 1)[p != flat], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["pivot", "doc_id"])
 
-    rows = nodes.select("doc_id", "sigs").mapInArrow(local, "sig bigint, docs array<bigint>")
+    rows = docs.where("doc_id is not null").mapInArrow(local, "sig bigint, docs array<bigint>")
     dealt = rows.repartition("sig").withColumn("low", F.col("docs")[0]).sortWithinPartitions("sig", "low").select("sig", "docs")
     return dealt.mapInArrow(star, "pivot bigint, doc_id bigint").distinct()
 
@@ -267,7 +274,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def grouped_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, sketch and shingles of the documents in groups (and a few that the filter lets by)."""
+    """doc_id, n_shingles, set hash, sketch and shingles of the documents in groups (and a few that the filter lets by)."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +284,11 @@ def grouped_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _chunks(chosen(batches), n):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sketches(sets)], pa.binary()), _lists(sets)], ["doc_id", "n_shingles", "sketch", "shingles"])
+            h = _set_hashes(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array([x.tobytes() for x in sketches(sets)], pa.binary()), _lists(sets)], ["doc_id", "n_shingles", "h1", "h2", "sketch", "shingles"])
 
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << ID_FILTER)).alias("h")
-    return docs.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(run, "doc_id bigint, n_shingles bigint, sketch binary, shingles array<bigint>")
+    return docs.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sketch binary, shingles array<bigint>")
 
 
 def _close(bands: Bands, sizes_a, sketch_a, sizes_b, sketch_b) -> np.ndarray:
@@ -291,6 +299,7 @@ def _close(bands: Bands, sizes_a, sketch_a, sizes_b, sketch_b) -> np.ndarray:
 
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """(a, b, linked) of pairs, by their shingles."""
+    # a document's texts, where rows repeat its doc_id, are told apart by nothing: any two that hold make a link
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -378,16 +387,16 @@ def similar_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     """
     own, bands = texts(docs), Bands(percent)
     plan = allocation(own, bands, n, own.count())
-    sets = stored(sets_of(own, bands, plan, n), "sets")
+    sets = stored(sets_of(own, n), "sets")
     real = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = real.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    groups = stored(groups_of(nodes), "groups")
+    same = ["h1", "h2", "n_shingles"]
+    classes = stored(real.groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
+    groups = stored(groups_of(own, bands, plan, n), "groups")
     grouped = stored(grouped_sets(own, groups.select("doc_id").union(groups.select("pivot")), n), "grouped")
-    # documents that repeat a doc_id: each of its texts' sets is the document's, so pairs may hold by any of them
+    equal = grouped.select("doc_id", *same).join(classes, same).where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     star = groups.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     done = stored(verified(stored(plausible(star, grouped, bands), "plausible"), grouped, bands), "verified")
-    links, refused = done.where("linked").select("a", "b"), done.where("not linked").select("a", "b")
+    links, refused = stored(equal.union(done.where("linked").select("a", "b")), "links"), done.where("not linked").select("a", "b")
     while True:
         labels = components(links)
         new = stored(proposals(groups, labels, refused, grouped, bands), "proposed")
@@ -397,6 +406,19 @@ def similar_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
         links = links.union(done.where("linked").select("a", "b"))
         refused = refused.union(done.where("not linked").select("a", "b"))
     named = classes.join(labels.withColumnRenamed("doc_id", "node"), "node", "left")
-    named = stored(named.select("h1", "h2", "n_shingles", F.coalesce("label", "node").alias("component")), "components")
-    out = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
+    named = stored(named.select(*same, F.coalesce("label", "node").alias("component")), "components")
+    out = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, same, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, with one document of each component: the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
+    """
+    found = similar_components(docs, n, percent)
+    lost = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    return kept
