@@ -143,20 +143,22 @@ def dropped_keys(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_
     return lost.groupBy("doc_id").agg(F.collect_set(key).alias("keys"))
 
 
-def line_dedup(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_DOCUMENTS) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_DOCUMENTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs without the lines that at least ``documents`` documents share, which the largest doc_id keeps.
 
     A line's key is stripped of ASCII white space and has A-Z lower-cased; keys under ``least`` code points
-    never count. Returns doc_id, text (kept lines joined; null stays null), n_lines and n_dropped. A null or
-    empty text is one empty line. Rows that repeat a doc_id count as one document and lose the same lines;
-    rows without doc_id neither count nor lose any.
+    never count. Returns doc_id, text (kept lines joined; null stays null), n_lines, n_dropped, and ``rest``, a struct of
+    the columns to carry. A null or empty text is one empty line. Rows that repeat a doc_id count as one document
+    and lose the same lines; rows without doc_id neither count nor lose any.
     """
     own = texts(docs)
-    joined = own.join(dropped_keys(own, least, documents), "doc_id", "left")
+    rest = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("boolean")
+    whole = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), rest.alias("rest"))
+    joined = whole.join(dropped_keys(own, least, documents), "doc_id", "left").select("doc_id", "text", "keys", "rest")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kept, n_lines, n_dropped = batch.column(0).to_pylist(), [], [], []
+            kept, n_lines, n_dropped = [], [], []
             for text, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 lines = lines_of(text)
                 n_lines.append(len(lines))
@@ -166,6 +168,6 @@ def line_dedup(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_DO
                     left = [x for x, h in zip(lines, line_hashes(lines, least)) if h not in gone]
                 n_dropped.append(len(lines) - len(left))
                 kept.append(text if len(left) == len(lines) else b"\n".join(left).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), batch.column(3)], ["doc_id", "text", "n_lines", "n_dropped", "rest"])
 
-    return joined.select("doc_id", "text", "keys").mapInArrow(cut, "doc_id bigint, text string, n_lines bigint, n_dropped bigint")
+    return joined.mapInArrow(cut, f"doc_id bigint, text string, n_lines bigint, n_dropped bigint, rest {joined.schema['rest'].dataType.simpleString()}")

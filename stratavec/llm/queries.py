@@ -120,3 +120,10 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     model, v, counts = hmm.fit(docs.where(remainder(7) != 2))
     out = hmm.score(docs, model, v, counts)
     return out.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
