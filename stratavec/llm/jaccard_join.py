@@ -29,7 +29,7 @@ WORDS = 3  # words of a shingle
 PERCENT = 90
 SAMPLE = 4096  # documents that the cost of allocations is measured on
 FALSE_PARTNER = 4.0  # cost of a false partner, in signatures
-SKETCH = 1024  # bits of a parity sketch
+SKETCH = 1024  # least bits of a parity sketch; it has at least two for each shingle
 SMALL_BLOCK, BLOCK = 256, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
 PARTNERS = 16  # pairs that a set proposes in a round, in a block; the next round brings the rest
 CHUNK = 1 << 20  # shingles handled at once
@@ -110,16 +110,38 @@ def all_signatures(hashes: list[np.ndarray], bands: Bands, plan: dict[int, int])
     return np.split(sigs[order], np.cumsum(np.bincount(sets, minlength=len(hashes)))[:-1])
 
 
-def sketches(hashes: list[np.ndarray]) -> np.ndarray:
-    """Parity sketches: bit b is the parity of the shingles that hash to b."""
-    out = np.zeros((len(hashes), SKETCH), bool)
-    for k, h in enumerate(hashes):
-        out[k] = np.bincount((mix(h ^ _SALT) >> np.uint64(54)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
-    return np.packbits(out, axis=1)
+def sketches(hashes: list[np.ndarray]) -> list[bytes]:
+    """Parity sketches: bit b is the parity of the shingles that hash to b, modulo a power of two."""
+    out = []
+    for h in hashes:
+        bits = max(SKETCH, 1 << (2 * len(h) - 1).bit_length()) if len(h) else SKETCH
+        odd = np.bincount((mix(h ^ _SALT) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(bool)).tobytes())
+    return out
 
 
-def words_of_sketch(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), SKETCH // 64)
+def marks(rows: list[bytes]) -> np.ndarray:
+    """Sketches of one size as rows of 64-bit words."""
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+
+
+def folded(m: np.ndarray, width: int) -> np.ndarray:
+    """The sketches with fewer bits: the halves' XOR."""
+    while m.shape[-1] > width:
+        half = m.shape[-1] // 2
+        m = m[..., :half] ^ m[..., half:]
+    return m
+
+
+def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which sketches differ, pair by pair, at the smaller size of each pair: never more than the sets do."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(a), np.int64)
+    for x, y in np.unique(sizes, axis=0):
+        rows = np.flatnonzero((sizes == (x, y)).all(1))
+        width = int(min(x, y)) // 8
+        out[rows] = np.bitwise_count(folded(marks([a[k] for k in rows]), width) ^ folded(marks([b[k] for k in rows]), width)).sum(1)
+    return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -163,7 +185,7 @@ def allocation(docs: DataFrame, bands: Bands, n: int, total: int) -> dict[int, i
         if not h or len(sets) < 8:
             return pd.DataFrame({"band": [band], "twos": [0]})
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        sketch = words_of_sketch([x.tobytes() for x in sketches(sets)])
+        sketch = sketches(sets)
         best = (np.inf, 0)
         for twos in sorted({0, 1, 2, (h + 1) // 2} & set(range((h + 1) // 2 + 1))):
             who, sigs = signatures(flat, owner, len(sets), band, h, twos)
@@ -171,7 +193,7 @@ def allocation(docs: DataFrame, bands: Bands, n: int, total: int) -> dict[int, i
             who, sigs = who[order], sigs[order]
             meet = np.flatnonzero(sigs[1:] == sigs[:-1])  # neighbours in a bucket stand for its pairs
             a, b = who[meet], who[meet + 1]
-            false = (np.bitwise_count(sketch[a] ^ sketch[b]).sum(1) > h).sum()
+            false = (distances([sketch[k] for k in a], [sketch[k] for k in b]) > h).sum()
             cost = (len(sigs) + FALSE_PARTNER * 2 * false * max(1.0, total / SAMPLE)) / len(sets)
             best = min(best, (cost, twos))
         return pd.DataFrame({"band": [band], "twos": [best[1]]})
@@ -285,18 +307,12 @@ def grouped_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _chunks(chosen(batches), n):
             h = _set_hashes(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array([x.tobytes() for x in sketches(sets)], pa.binary()), _lists(sets)], ["doc_id", "n_shingles", "h1", "h2", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(sketches(sets), pa.binary()), _lists(sets)], ["doc_id", "n_shingles", "h1", "h2", "sketch", "shingles"])
 
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << ID_FILTER)).alias("h")
     return docs.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sketch binary, shingles array<bigint>")
 
 
-def _close(bands: Bands, sizes_a, sketch_a, sizes_b, sketch_b) -> np.ndarray:
-    """Distances of sketches, or -1 where the sets can't be similar."""
-    distance = np.bitwise_count(sketch_a ^ sketch_b).sum(-1).astype(np.int64)
-    return np.where(distance <= bands.most(sizes_a + sizes_b), distance, -1)
-
-
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """(a, b, linked) of pairs, by their shingles."""
     # a document's texts, where rows repeat its doc_id, are told apart by nothing: any two that hold make a link
@@ -312,14 +328,14 @@ def plausible(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                sizes = [np.asarray(batch.column(k)) for k in (2, 4)]
-                marks = [words_of_sketch(batch.column(k).to_pylist()) for k in (3, 5)]
-                yield batch.select([0, 1]).filter(pa.array(_close(bands, sizes[0], marks[0], sizes[1], marks[1]) >= 0))
+            most = bands.most(np.asarray(batch.column(2)) + np.asarray(batch.column(4)))
+            near = distances(batch.column(3).to_pylist(), batch.column(5).to_pylist()) <= most
+            yield batch.select([0, 1]).filter(pa.array(near))
 
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "k_a", "n_b", "k_b")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    sized = F.abs(F.col("n_a") - F.col("n_b")) * (100 + bands.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - bands.percent)
+    return both.where(sized).mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -341,7 +357,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def proposals(groups: DataFrame, labels: DataFrame, refused: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Plausible pairs (a, b) of one group and two components, at most PARTNERS of each set and block, nearest first."""
+    """Plausible pairs (a, b) of one group and two components, at most PARTNERS of each set and block, and sketch size, nearest first."""
     label = F.coalesce("label", "doc_id").alias("label")
     members = groups.union(groups.select("pivot", F.col("pivot").alias("doc_id"))).distinct()
     members = stored(members.join(labels, "doc_id", "left").select("pivot", "doc_id", label), "members")
@@ -351,25 +367,32 @@ def proposals(groups: DataFrame, labels: DataFrame, refused: DataFrame, sets: Da
     placed = members.join(stored(open_groups.select("pivot", blocks.alias("blocks")), "open"), "pivot")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     no = refused.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("no"))
-    marks = sets.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
-    placed = placed.join(marks, "doc_id").join(no, "doc_id", "left")
+    sketched = sets.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
+    placed = placed.join(sketched, "doc_id").join(no, "doc_id", "left")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.withColumn("other", other).select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "n_shingles", "sketch", "no")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         same = group["i"].iloc[0] == group["j"].iloc[0]
         x, y = (group, group) if same else (group[group["own"] == group["i"]], group[group["own"] == group["j"]])
-        part = lambda g: (g["doc_id"].to_numpy(), g["label"].to_numpy(), g["n_shingles"].to_numpy(), words_of_sketch(g["sketch"].tolist()))
         out = []
-        if len(x) and len(y):
-            ids, labels_y, sizes, marks_y = part(y)
-            for doc, label_x, size, mark, refuse in zip(*part(x), x["no"]):
-                can = np.flatnonzero((labels_y != label_x) & ((ids > doc) if same else True))
-                near = _close(bands, size, mark, sizes[can], marks_y[can])
-                can, near = can[near >= 0], near[near >= 0]
+        kinds = y["sketch"].map(len)
+        for width, part in y.groupby(kinds // 8):
+            ids, labels_y, sizes = (part[c].to_numpy() for c in ("doc_id", "label", "n_shingles"))
+            whole = {int(width): marks(part["sketch"].tolist())}
+            for doc, label_x, size, mark, refuse in zip(x["doc_id"], x["label"], x["n_shingles"], x["sketch"], x["no"]):
+                own = len(mark) // 8
+                most = bands.most(sizes + size)
+                can = np.flatnonzero((labels_y != label_x) & (np.abs(sizes - size) <= most) & ((ids > doc) if same else True))
                 if refuse is not None and len(refuse):
-                    fresh = ~np.isin(ids[can], refuse)
-                    can, near = can[fresh], near[fresh]
+                    can = can[~np.isin(ids[can], refuse)]
+                if not len(can):
+                    continue
+                least = min(own, int(width))
+                if least not in whole:
+                    whole[least] = folded(whole[int(width)], least)
+                near = np.bitwise_count(folded(marks([mark]), least) ^ whole[least][can]).sum(1)
+                can, near = can[near <= most[can]], near[near <= most[can]]
                 out += [(doc, ids[k]) for k in can[np.argsort(near, kind="stable")[:PARTNERS]]]
         return pd.DataFrame(out, columns=["a", "b"])
 

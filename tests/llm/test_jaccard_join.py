@@ -81,8 +81,18 @@ def test_every_similar_pair_shares_a_signature(percent):
         x, y = jj.all_signatures([a, b], bands, plan)
         assert set(x.tolist()) & set(y.tolist()) or set(a.tolist()) == set(b.tolist())
         distance = len(a) + len(b) - 2 * common
-        s = jj.words_of_sketch([r.tobytes() for r in jj.sketches([a, b])])
-        assert np.bitwise_count(s[0] ^ s[1]).sum() <= distance <= bands.most(len(a) + len(b))
+        x, y = jj.sketches([a, b])
+        assert jj.distances([x], [y])[0] <= distance <= bands.most(len(a) + len(b))
+
+
+def test_sketches_tell_large_sets_apart():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (900, 1100, 5000, 20_000, 19_000)]
+    marks = jj.sketches(sets)
+    for i, j in itertools.combinations(range(5), 2):
+        d = jj.distances([marks[i]], [marks[j]])[0]
+        assert d <= len(sets[i]) + len(sets[j]) and (min(len(sets[i]), len(sets[j])) < 0.7 * max(len(sets[i]), len(sets[j])) or d > 0.3 * (len(sets[i]) + len(sets[j])))
+    assert len(marks[3]) == 65536 // 8 and jj.distances([marks[2]], [marks[2]])[0] == 0
 
 
 def test_components(spark):
