@@ -356,8 +356,42 @@ def components(links: DataFrame) -> DataFrame:
         now = new.select("doc_id", "label")
 
 
+def comparable(x: pd.DataFrame, y: pd.DataFrame, same: bool, bands: Bands) -> pd.DataFrame:
+    """Pairs (a of x, b of y) of different labels that sketches allow and that weren't refused, with their distance.
+
+    Both sides go by size, so that a few rows of x meet one stretch of y; sketches folded to the least size rule out
+    most pairs, full ones the rest. same: x and y are one block, and each pair is met once.
+    """
+    least = SKETCH // 64
+    x, y = (g.sort_values("n_shingles", kind="stable").reset_index(drop=True) for g in (x, y))
+    small = lambda g: np.concatenate([folded(marks([m]), least) for m in g["sketch"]])
+    (ids_x, labels_x, n_x), (ids_y, labels_y, n_y) = ([g[c].to_numpy() for c in ("doc_id", "label", "n_shingles")] for g in (x, y))
+    mark_x, mark_y = small(x), small(y)
+    out = []
+    for k in range(0, len(x), 32):
+        rows = slice(k, k + 32)
+        lo, hi = np.searchsorted(n_y, n_x[k] * bands.percent // 100, "left"), np.searchsorted(n_y, bands.partner(int(n_x[rows][-1])), "right")
+        most = bands.most(n_x[rows, None] + n_y[None, lo:hi])
+        can = (labels_x[rows, None] != labels_y[None, lo:hi]) & (np.abs(n_x[rows, None] - n_y[None, lo:hi]) <= most)
+        if same:
+            can &= ids_x[rows, None] < ids_y[None, lo:hi]
+        if can.any():
+            can &= np.bitwise_count(mark_x[rows, None] ^ mark_y[None, lo:hi]).sum(-1, dtype=np.int64) <= most
+            i, j = np.nonzero(can)
+            out.append(np.stack([i + k, j + lo], 1))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    refused = {(a, b) for a, no in zip(x["doc_id"], x["no"]) if no is not None for b in no}
+    if refused:
+        pairs = pairs[[(a, b) not in refused for a, b in zip(ids_x[pairs[:, 0]], ids_y[pairs[:, 1]])]]
+    near = np.zeros(len(pairs), np.int64)
+    for k in range(0, len(pairs), 1024):
+        near[k : k + 1024] = distances(x["sketch"].iloc[pairs[k : k + 1024, 0]].tolist(), y["sketch"].iloc[pairs[k : k + 1024, 1]].tolist())
+    out = pd.DataFrame({"a": ids_x[pairs[:, 0]], "b": ids_y[pairs[:, 1]], "near": near})
+    return out[near <= bands.most(n_x[pairs[:, 0]] + n_y[pairs[:, 1]])]
+
+
 def proposals(groups: DataFrame, labels: DataFrame, refused: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Plausible pairs (a, b) of one group and two components, at most PARTNERS of each set and block, and sketch size, nearest first."""
+    """(pivot, a, b): plausible pairs of one group and two components, at most PARTNERS of each set and block, nearest first."""
     label = F.coalesce("label", "doc_id").alias("label")
     members = groups.union(groups.select("pivot", F.col("pivot").alias("doc_id"))).distinct()
     members = stored(members.join(labels, "doc_id", "left").select("pivot", "doc_id", label), "members")
@@ -366,38 +400,24 @@ def proposals(groups: DataFrame, labels: DataFrame, refused: DataFrame, sets: Da
     blocks = F.ceil(F.col("n") / size).cast("int")
     placed = members.join(stored(open_groups.select("pivot", blocks.alias("blocks")), "open"), "pivot")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    no = refused.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("no"))
+    both_ways = refused.union(refused.select(F.col("b"), F.col("a")))
+    no = both_ways.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("no"))
     sketched = sets.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
     placed = placed.join(sketched, "doc_id").join(no, "doc_id", "left")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.withColumn("other", other).select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "n_shingles", "sketch", "no")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        same = group["i"].iloc[0] == group["j"].iloc[0]
-        x, y = (group, group) if same else (group[group["own"] == group["i"]], group[group["own"] == group["j"]])
-        out = []
-        kinds = y["sketch"].map(len)
-        for width, part in y.groupby(kinds // 8):
-            ids, labels_y, sizes = (part[c].to_numpy() for c in ("doc_id", "label", "n_shingles"))
-            whole = {int(width): marks(part["sketch"].tolist())}
-            for doc, label_x, size, mark, refuse in zip(x["doc_id"], x["label"], x["n_shingles"], x["sketch"], x["no"]):
-                own = len(mark) // 8
-                most = bands.most(sizes + size)
-                can = np.flatnonzero((labels_y != label_x) & (np.abs(sizes - size) <= most) & ((ids > doc) if same else True))
-                if refuse is not None and len(refuse):
-                    can = can[~np.isin(ids[can], refuse)]
-                if not len(can):
-                    continue
-                least = min(own, int(width))
-                if least not in whole:
-                    whole[least] = folded(whole[int(width)], least)
-                near = np.bitwise_count(folded(marks([mark]), least) ^ whole[least][can]).sum(1)
-                can, near = can[near <= most[can]], near[near <= most[can]]
-                out += [(doc, ids[k]) for k in can[np.argsort(near, kind="stable")[:PARTNERS]]]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    found = placed.groupBy("pivot", "i", "j").applyInPandas(compare, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        x, y = group[group["own"] == i], group[group["own"] == j]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"pivot": [], "a": [], "b": []}, dtype="int64")
+        pairs = comparable(x, y, i == j, bands).sort_values("near", kind="stable")
+        pairs = pairs[pairs.groupby("a").cumcount() < PARTNERS]
+        return pairs[["a", "b"]].assign(pivot=group["pivot"].iloc[0])[["pivot", "a", "b"]]
+
+    found = placed.groupBy("pivot", "i", "j").applyInPandas(compare, "pivot bigint, a bigint, b bigint")
+    return found.select("pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def similar_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -425,9 +445,11 @@ def similar_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
         new = stored(proposals(groups, labels, refused, grouped, bands), "proposed")
         if not new.limit(1).count():
             break
-        done = stored(verified(new, grouped, bands), "verified")
+        done = stored(verified(new.select("a", "b").distinct(), grouped, bands), "verified")
         links = links.union(done.where("linked").select("a", "b"))
         refused = refused.union(done.where("not linked").select("a", "b"))
+        # a group that proposed nothing is done: links and refusals only take pairs away
+        groups = stored(groups.join(new.select("pivot").distinct(), "pivot", "left_semi"), "groups")
     named = classes.join(labels.withColumnRenamed("doc_id", "node"), "node", "left")
     named = stored(named.select(*same, F.coalesce("label", "node").alias("component")), "components")
     out = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, same, "left")

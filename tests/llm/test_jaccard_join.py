@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from stratavec.llm import jaccard_join as jj
@@ -99,3 +100,23 @@ def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(10, 60)] + [(100, 101), (100, 102), (5, 102)], "a bigint, b bigint")
     got = {r.doc_id: r.label for r in jj.components(links).collect()}
     assert all(got[k] == 10 for k in range(10, 61)) and all(got[k] == 5 for k in (5, 100, 101, 102))
+
+
+def test_refused_pairs_are_not_proposed_again(spark, monkeypatch):
+    """Pairs just under the threshold, which sketches let pass now and then, in blocks of a few sets: the search ends."""
+    monkeypatch.setattr(jj, "SMALL_BLOCK", 8)
+    rng = np.random.default_rng(4)
+    base = " ".join(f"w{x}" for x in rng.integers(0, 3000, 200))
+    data = list(enumerate([edited(rng, base, 2) for _ in range(70)]))
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(2)
+    assert sorted(map(tuple, jj.similar_components(df).collect()), key=str) == brute(data)
+
+
+def test_comparable_leaves_out_refused_pairs():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))] * 3
+    x = pd.DataFrame({"doc_id": [5, 1, 9], "label": [5, 1, 9], "n_shingles": [100] * 3, "sketch": jj.sketches(sets), "no": [[9], None, [5]]})
+    got = jj.comparable(x, x, True, jj.Bands(90))
+    assert sorted(zip(got["a"], got["b"])) == [(1, 5), (1, 9)]
+    got = jj.comparable(x.iloc[[2]], x.iloc[[0, 1]], False, jj.Bands(90))
+    assert sorted(zip(got["a"], got["b"])) == [(9, 1)]
