@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 class WordHashes(dict):
     """64-bit hash of each word, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 18):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -86,6 +87,33 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
+def split_words(column: pa.Array, most: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, of slices of a text column of up to ``most`` bytes (or one text).
+
+    Of each slice: its first row, its distinct words (possibly with an unused ""), each text's number of words, and all
+    words as indexes.
+    """
+    column = pc.fill_null(column, "")
+    size = np.cumsum(np.asarray(pc.binary_length(column), np.int64))
+    first = 0
+    while first < len(column):
+        done = size[first - 1] if first else 0
+        n = max(1, int(np.searchsorted(size, done + most, "right")) - first)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(first, n)))
+        flat = lists.flatten().dictionary_encode()
+        distinct, index = flat.dictionary, np.asarray(flat.indices)
+        owner = np.repeat(np.arange(n), np.asarray(lists.value_lengths()))
+        empty = pc.index(distinct, "").as_py()  # what white space at a text's ends leaves behind
+        if empty >= 0:
+            owner, index = owner[index != empty], index[index != empty]
+        yield first, distinct, np.bincount(owner, minlength=n), index
+        first += n
+
+
+def word_hashes(distinct: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

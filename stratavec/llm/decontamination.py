@@ -26,7 +26,7 @@ MIN_WORDS = 20  # words of an overlap, or all of a shorter item
 MIN_ITEM = 8  # items of fewer words identify nothing
 AGREEMENT = 0.8
 BLOCK_WORDS = 4_000_000  # benchmark words that are broadcast at once
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _BITMAP = 24
 _BETWEEN = np.uint64(0x5851F42D4C957F2D)

@@ -16,6 +16,7 @@ from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import WordHashes, mix, sampled, shingles, stored, texts, words
+from stratavec.llm.common import mix, sampled, shingles, split_words, stored, texts, word_hashes
 
 WORDS = 3  # words of a shingle
 PERCENT = 90
@@ -32,7 +33,7 @@ FALSE_PARTNER = 4.0  # cost of a false partner, in signatures
 SKETCH = 1024  # least bits of a parity sketch; it has at least two for each shingle
 SMALL_BLOCK, BLOCK = 256, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
 PARTNERS = 16  # pairs that a set proposes in a round, in a block; the next round brings the rest
-CHUNK = 1 << 20  # shingles handled at once
+CHUNK = 1 << 19  # shingles handled at once
 ID_FILTER = 26  # bits of the filter of documents in groups, as a power of two
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,19 +146,12 @@ def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Ids and shingle hashes of documents, CHUNK shingles or one document at a time."""
-    hashed = WordHashes()
+    """Ids and shingle hashes of documents, about CHUNK words or one document at a time."""
     for batch in batches:
-        ids, sets, held = [], [], 0
-        for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-            ids.append(doc)
-            sets.append(shingles(hashed.of(words(text)), n))
-            held += len(sets[-1])
-            if held >= CHUNK:
-                yield ids, sets
-                ids, sets, held = [], [], 0
-        if ids:
-            yield ids, sets
+        ids = batch.column(0).to_pylist()
+        for first, distinct, lengths, index in split_words(batch.column(1), 6 * CHUNK):
+            h = word_hashes(distinct)[index]
+            yield ids[first : first + len(lengths)], [shingles(x, n) for x in np.split(h, np.cumsum(lengths)[:-1])]
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -356,38 +350,57 @@ def components(links: DataFrame) -> DataFrame:
         now = new.select("doc_id", "label")
 
 
-def comparable(x: pd.DataFrame, y: pd.DataFrame, same: bool, bands: Bands) -> pd.DataFrame:
-    """Pairs (a of x, b of y) of different labels that sketches allow and that weren't refused, with their distance.
+class Sets(NamedTuple):
+    """Sets of a block: parallel columns."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    sizes: np.ndarray
+    sketches: list[bytes]
+    refused: list[list[int] | None]
+
+    def take(self, rows: np.ndarray) -> "Sets":
+        return Sets(self.ids[rows], self.labels[rows], self.sizes[rows], [self.sketches[k] for k in rows], [self.refused[k] for k in rows])
+
+    def by_size(self) -> "Sets":
+        return self.take(np.argsort(self.sizes, kind="stable"))
+
+    def small_marks(self) -> np.ndarray:
+        return np.concatenate([folded(marks([m]), SKETCH // 64) for m in self.sketches])
+
+
+def comparable(x: Sets, y: Sets, same: bool, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (of x, of y) of different labels that sketches allow and that weren't refused, with their distance.
 
     Both sides go by size, so that a few rows of x meet one stretch of y; sketches folded to the least size rule out
     most pairs, full ones the rest. same: x and y are one block, and each pair is met once.
     """
-    least = SKETCH // 64
-    x, y = (g.sort_values("n_shingles", kind="stable").reset_index(drop=True) for g in (x, y))
-    small = lambda g: np.concatenate([folded(marks([m]), least) for m in g["sketch"]])
-    (ids_x, labels_x, n_x), (ids_y, labels_y, n_y) = ([g[c].to_numpy() for c in ("doc_id", "label", "n_shingles")] for g in (x, y))
-    mark_x, mark_y = small(x), small(y)
+    x = x.by_size()
+    y = x if same else y.by_size()
     out = []
-    for k in range(0, len(x), 32):
+    mark_x = x.small_marks()
+    mark_y = mark_x if same else y.small_marks()
+    for k in range(0, len(x.ids), 32):
         rows = slice(k, k + 32)
-        lo, hi = np.searchsorted(n_y, n_x[k] * bands.percent // 100, "left"), np.searchsorted(n_y, bands.partner(int(n_x[rows][-1])), "right")
-        most = bands.most(n_x[rows, None] + n_y[None, lo:hi])
-        can = (labels_x[rows, None] != labels_y[None, lo:hi]) & (np.abs(n_x[rows, None] - n_y[None, lo:hi]) <= most)
+        lo, hi = np.searchsorted(y.sizes, x.sizes[k] * bands.percent // 100, "left"), np.searchsorted(y.sizes, bands.partner(int(x.sizes[rows][-1])), "right")
+        most = bands.most(x.sizes[rows, None] + y.sizes[None, lo:hi])
+        can = (x.labels[rows, None] != y.labels[None, lo:hi]) & (np.abs(x.sizes[rows, None] - y.sizes[None, lo:hi]) <= most)
         if same:
-            can &= ids_x[rows, None] < ids_y[None, lo:hi]
+            can &= x.ids[rows, None] < y.ids[None, lo:hi]
         if can.any():
             can &= np.bitwise_count(mark_x[rows, None] ^ mark_y[None, lo:hi]).sum(-1, dtype=np.int64) <= most
             i, j = np.nonzero(can)
             out.append(np.stack([i + k, j + lo], 1))
     pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    refused = {(a, b) for a, no in zip(x["doc_id"], x["no"]) if no is not None for b in no}
+    refused = {(a, b) for a, no in zip(x.ids.tolist(), x.refused) if no for b in no}
     if refused:
-        pairs = pairs[[(a, b) not in refused for a, b in zip(ids_x[pairs[:, 0]], ids_y[pairs[:, 1]])]]
+        pairs = pairs[np.array([(a, b) not in refused for a, b in zip(x.ids[pairs[:, 0]].tolist(), y.ids[pairs[:, 1]].tolist())], bool)]
     near = np.zeros(len(pairs), np.int64)
     for k in range(0, len(pairs), 1024):
-        near[k : k + 1024] = distances(x["sketch"].iloc[pairs[k : k + 1024, 0]].tolist(), y["sketch"].iloc[pairs[k : k + 1024, 1]].tolist())
-    out = pd.DataFrame({"a": ids_x[pairs[:, 0]], "b": ids_y[pairs[:, 1]], "near": near})
-    return out[near <= bands.most(n_x[pairs[:, 0]] + n_y[pairs[:, 1]])]
+        part = pairs[k : k + 1024].tolist()
+        near[k : k + 1024] = distances([x.sketches[i] for i, _ in part], [y.sketches[j] for _, j in part])
+    good = near <= bands.most(x.sizes[pairs[:, 0]] + y.sizes[pairs[:, 1]])
+    return x.ids[pairs[good, 0]], y.ids[pairs[good, 1]], near[good]
 
 
 def proposals(groups: DataFrame, labels: DataFrame, refused: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -407,16 +420,22 @@ def proposals(groups: DataFrame, labels: DataFrame, refused: DataFrame, sets: Da
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.withColumn("other", other).select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "n_shingles", "sketch", "no")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        x, y = group[group["own"] == i], group[group["own"] == j]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"pivot": [], "a": [], "b": []}, dtype="int64")
-        pairs = comparable(x, y, i == j, bands).sort_values("near", kind="stable")
-        pairs = pairs[pairs.groupby("a").cumcount() < PARTNERS]
-        return pairs[["a", "b"]].assign(pivot=group["pivot"].iloc[0])[["pivot", "a", "b"]]
-
-    found = placed.groupBy("pivot", "i", "j").applyInPandas(compare, "pivot bigint, a bigint, b bigint")
+    def compare(t: pa.Table) -> pa.Table:
+        column = lambda c: np.asarray(t.column(c).combine_chunks())
+        i, j, own, labels = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py()), column("own"), column("label")
+        a = b = np.zeros(0, np.int64)
+        if (labels != labels[0]).any() and (i == j or (own == i).any() and (own == j).any()):
+            whole = Sets(column("doc_id"), labels, column("n_shingles"), t.column("sketch").to_pylist(), t.column("no").to_pylist())
+            x = whole if i == j else whole.take(np.flatnonzero(own == i))
+            a, b, near = comparable(x, x if i == j else whole.take(np.flatnonzero(own == j)), i == j, bands)
+            order = np.lexsort((near, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+            rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+            a, b = a[rank < PARTNERS], b[rank < PARTNERS]
+        return pa.table({"pivot": pa.array(np.full(len(a), t.column("pivot")[0].as_py(), np.int64)), "a": pa.array(a), "b": pa.array(b)})
+
+    found = placed.groupBy("pivot", "i", "j").applyInArrow(compare, "pivot bigint, a bigint, b bigint")
     return found.select("pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

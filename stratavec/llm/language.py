@@ -27,7 +27,7 @@ PROBES = 3
 FIT_DOCUMENTS = 6000  # documents of a language that the filters are fitted on, about
 LEAST_SHARE = 2e-6  # of a language's n-grams that one must have: so at most 500,000 are kept
 LEAST_RATIO = 0.1  # of the n-gram's share in the language where it is most common
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 
 
 @lru_cache(1)

@@ -1,7 +1,6 @@
 import itertools
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from stratavec.llm import jaccard_join as jj
@@ -115,8 +114,8 @@ def test_refused_pairs_are_not_proposed_again(spark, monkeypatch):
 def test_comparable_leaves_out_refused_pairs():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))] * 3
-    x = pd.DataFrame({"doc_id": [5, 1, 9], "label": [5, 1, 9], "n_shingles": [100] * 3, "sketch": jj.sketches(sets), "no": [[9], None, [5]]})
-    got = jj.comparable(x, x, True, jj.Bands(90))
-    assert sorted(zip(got["a"], got["b"])) == [(1, 5), (1, 9)]
-    got = jj.comparable(x.iloc[[2]], x.iloc[[0, 1]], False, jj.Bands(90))
-    assert sorted(zip(got["a"], got["b"])) == [(9, 1)]
+    x = jj.Sets(np.array([5, 1, 9]), np.array([5, 1, 9]), np.array([100] * 3), jj.sketches(sets), [[9], None, [5]])
+    a, b, near = jj.comparable(x, x, True, jj.Bands(90))
+    assert sorted(zip(a, b)) == [(1, 5), (1, 9)] and not near.any()
+    a, b, _ = jj.comparable(x.take(np.array([2])), x.take(np.array([0, 1])), False, jj.Bands(90))
+    assert sorted(zip(a, b)) == [(9, 1)]
