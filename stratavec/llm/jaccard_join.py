@@ -29,8 +29,8 @@ from stratavec.llm.common import mix, sampled, shingles, split_words, stored, te
 WORDS = 3  # words of a shingle
 PERCENT = 90
 SAMPLE = 4096  # documents that the cost of allocations is measured on
-FALSE_PARTNER = 4.0  # cost of a false partner, in signatures
-SKETCH = 1024  # least bits of a parity sketch; it has at least two for each shingle
+FALSE_PARTNER = 0.05  # cost of a false partner (its sketch is compared), in signatures (written, shuffled, sorted)
+SKETCH = 1024  # least bits of a parity sketch; it has at least one for each shingle
 SMALL_BLOCK, BLOCK = 256, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
 PARTNERS = 16  # pairs that a set proposes in a round, in a block; the next round brings the rest
 CHUNK = 1 << 19  # shingles handled at once
@@ -115,7 +115,7 @@ def sketches(hashes: list[np.ndarray]) -> list[bytes]:
     """Parity sketches: bit b is the parity of the shingles that hash to b, modulo a power of two."""
     out = []
     for h in hashes:
-        bits = max(SKETCH, 1 << (2 * len(h) - 1).bit_length()) if len(h) else SKETCH
+        bits = max(SKETCH, 1 << max(0, len(h) - 1).bit_length())
         odd = np.bincount((mix(h ^ _SALT) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(bool)).tobytes())
     return out
