@@ -32,7 +32,7 @@ SAMPLE = 4096  # documents that the cost of allocations is measured on
 FALSE_PARTNER = 0.05  # cost of a false partner (its sketch is compared), in signatures (written, shuffled, sorted)
 SKETCH = 1024  # least bits of a parity sketch; it has at least one for each shingle
 SMALL_BLOCK, BLOCK = 256, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
-PARTNERS = 16  # pairs that a set proposes in a round, in a block; the next round brings the rest
+PARTNERS = 4  # pairs that a set proposes in a round, in a block; the next round brings the rest
 CHUNK = 1 << 19  # shingles handled at once
 ID_FILTER = 26  # bits of the filter of documents in groups, as a power of two
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -318,18 +318,19 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs (a, b) that their sketches don't rule out."""
+    """The pairs (a, b) that their sketches don't rule out, with the sketches' distance ``near``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most = bands.most(np.asarray(batch.column(2)) + np.asarray(batch.column(4)))
-            near = distances(batch.column(3).to_pylist(), batch.column(5).to_pylist()) <= most
-            yield batch.select([0, 1]).filter(pa.array(near))
+            near = distances(batch.column(3).to_pylist(), batch.column(5).to_pylist())
+            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["a", "b", "near"])
+            yield rows.filter(pa.array(near <= most))
 
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "k_a", "n_b", "k_b")
     sized = F.abs(F.col("n_a") - F.col("n_b")) * (100 + bands.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - bands.percent)
-    return both.where(sized).mapInArrow(run, "a bigint, b bigint")
+    return both.where(sized).mapInArrow(run, "a bigint, b bigint, near bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -457,7 +458,9 @@ def similar_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     grouped = stored(grouped_sets(own, groups.select("doc_id").union(groups.select("pivot")), n), "grouped")
     equal = grouped.select("doc_id", *same).join(classes, same).where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     star = groups.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    done = stored(verified(stored(plausible(star, grouped, bands), "plausible"), grouped, bands), "verified")
+    # each document with its nearest pivot only: what that doesn't connect, the search below does
+    nearest = plausible(star, grouped, bands).groupBy("b").agg(F.min_by("a", F.struct("near", "a")).alias("a")).select("a", "b")
+    done = stored(verified(stored(nearest, "nearest"), grouped, bands), "verified")
     links, refused = stored(equal.union(done.where("linked").select("a", "b")), "links"), done.where("not linked").select("a", "b")
     while True:
         labels = components(links)

@@ -91,7 +91,7 @@ def test_sketches_tell_large_sets_apart():
     marks = jj.sketches(sets)
     for i, j in itertools.combinations(range(5), 2):
         d = jj.distances([marks[i]], [marks[j]])[0]
-        assert d <= len(sets[i]) + len(sets[j]) and (min(len(sets[i]), len(sets[j])) < 0.7 * max(len(sets[i]), len(sets[j])) or d > 0.3 * (len(sets[i]) + len(sets[j])))
+        assert d <= len(sets[i]) + len(sets[j]) and (min(len(sets[i]), len(sets[j])) < 0.7 * max(len(sets[i]), len(sets[j])) or d > 0.2 * (len(sets[i]) + len(sets[j])))
     assert len(marks[3]) == 32768 // 8 and jj.distances([marks[2]], [marks[2]])[0] == 0
 
 
