@@ -13,34 +13,42 @@ from stratavec.llm import decontamination, jaccard_join, language, line_dedup, p
 from stratavec.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of an Arrow batch between Spark and Python: bounds both sides' memory where texts are long.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """The columns of documents; batches to Python are kept small from here on."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs.select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents in none of the languages that the labelled ones are in (no letters, or unknown n-grams)."""
-    docs = docs.select(*COLUMNS)
+    docs = bounded(docs)
     return language.accepted(docs, language.fit(language.training_rows(docs)))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that three documents or more share, but in the last of them; n_chars counts what is left."""
-    out = line_dedup.line_dedup(docs, carry=("lang", "source", "n_chars"))
+    out = line_dedup.line_dedup(bounded(docs), carry=("lang", "source", "n_chars"))
     chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("rest.n_chars"))
     return out.select("doc_id", "text", "rest.lang", "rest.source", chars.alias("n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones (five-word shingles, Jaccard index of 0.8): the smallest doc_id."""
-    return jaccard_join.representatives(docs.select(*COLUMNS), 5, 80)
+    return jaccard_join.representatives(bounded(docs), 5, 80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a passage of the benchmark."""
-    return decontamination.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminate(bounded(docs), table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs)
+    return packing.pack(bounded(docs))
 
 
 STAGES = [
