@@ -31,7 +31,7 @@ PERCENT = 90
 SAMPLE = 4096  # documents that the cost of allocations is measured on
 FALSE_PARTNER = 0.05  # cost of a false partner (its sketch is compared), in signatures (written, shuffled, sorted)
 SKETCH = 1024  # least bits of a parity sketch; it has at least one for each shingle
-SMALL_BLOCK, BLOCK = 256, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
+SMALL_BLOCK, BLOCK = 2048, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
 PARTNERS = 4  # pairs that a set proposes in a round, in a block; the next round brings the rest
 CHUNK = 1 << 19  # shingles handled at once
 ID_FILTER = 26  # bits of the filter of documents in groups, as a power of two
