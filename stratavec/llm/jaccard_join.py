@@ -34,6 +34,7 @@ SKETCH = 1024  # least bits of a parity sketch; it has at least one for each shi
 SMALL_BLOCK, BLOCK = 2048, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
 PARTNERS = 4  # pairs that a set proposes in a round, in a block; the next round brings the rest
 CHUNK = 1 << 19  # shingles handled at once
+COMPARED = 4 << 20  # bytes of sketches compared at once
 ID_FILTER = 26  # bits of the filter of documents in groups, as a power of two
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -370,17 +371,33 @@ class Sets(NamedTuple):
         return np.concatenate([folded(marks([m]), SKETCH // 64) for m in self.sketches])
 
 
+def refused_codes(x: Sets, y: Sets) -> np.ndarray:
+    """Refused pairs (row of x, row of y) as row of x times the rows of y, plus row of y."""
+    rows = [k for k, no in enumerate(x.refused) if no]
+    if not rows or not len(y.ids):
+        return np.zeros(0, np.int64)
+    no = np.concatenate([np.asarray(x.refused[k], np.int64) for k in rows])
+    owner = np.repeat(rows, [len(x.refused[k]) for k in rows])
+    order = np.argsort(y.ids, kind="stable")
+    at = np.minimum(np.searchsorted(y.ids[order], no), len(order) - 1)
+    there = y.ids[order[at]] == no
+    return owner[there] * len(order) + order[at[there]]
+
+
 def comparable(x: Sets, y: Sets, same: bool, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (of x, of y) of different labels that sketches allow and that weren't refused, with their distance.
 
     Both sides go by size, so that a few rows of x meet one stretch of y; sketches folded to the least size rule out
-    most pairs, full ones the rest. same: x and y are one block, and each pair is met once.
+    most pairs, full ones the rest. Each row of x keeps its PARTNERS nearest, so what is held stays in proportion to
+    the rows. same: x and y are one block, and each pair is met once.
     """
     x = x.by_size()
     y = x if same else y.by_size()
-    out = []
+    out = [np.zeros((3, 0), np.int64)]
     mark_x = x.small_marks()
     mark_y = mark_x if same else y.small_marks()
+    width_x, width_y = (np.array([len(m) for m in z.sketches], np.int64) for z in (x, y))
+    refused = refused_codes(x, y)
     for k in range(0, len(x.ids), 32):
         rows = slice(k, k + 32)
         lo, hi = np.searchsorted(y.sizes, x.sizes[k] * bands.percent // 100, "left"), np.searchsorted(y.sizes, bands.partner(int(x.sizes[rows][-1])), "right")
@@ -388,20 +405,26 @@ def comparable(x: Sets, y: Sets, same: bool, bands: Bands) -> tuple[np.ndarray,
         can = (x.labels[rows, None] != y.labels[None, lo:hi]) & (np.abs(x.sizes[rows, None] - y.sizes[None, lo:hi]) <= most)
         if same:
             can &= x.ids[rows, None] < y.ids[None, lo:hi]
-        if can.any():
-            can &= np.bitwise_count(mark_x[rows, None] ^ mark_y[None, lo:hi]).sum(-1, dtype=np.int64) <= most
-            i, j = np.nonzero(can)
-            out.append(np.stack([i + k, j + lo], 1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    refused = {(a, b) for a, no in zip(x.ids.tolist(), x.refused) if no for b in no}
-    if refused:
-        pairs = pairs[np.array([(a, b) not in refused for a, b in zip(x.ids[pairs[:, 0]].tolist(), y.ids[pairs[:, 1]].tolist())], bool)]
-    near = np.zeros(len(pairs), np.int64)
-    for k in range(0, len(pairs), 1024):
-        part = pairs[k : k + 1024].tolist()
-        near[k : k + 1024] = distances([x.sketches[i] for i, _ in part], [y.sketches[j] for _, j in part])
-    good = near <= bands.most(x.sizes[pairs[:, 0]] + y.sizes[pairs[:, 1]])
-    return x.ids[pairs[good, 0]], y.ids[pairs[good, 1]], near[good]
+        if not can.any():
+            continue
+        small = np.bitwise_count(mark_x[rows, None] ^ mark_y[None, lo:hi]).sum(-1, dtype=np.int64)
+        i, j = np.nonzero(can & (small <= most))
+        near, i, j = small[i, j], i + k, j + lo
+        if len(refused):
+            new = ~np.isin(i * len(y.ids) + j, refused)
+            near, i, j = near[new], i[new], j[new]
+        wide = np.flatnonzero(np.minimum(width_x[i], width_y[j]) > SKETCH // 8)
+        step = max(1, COMPARED // int(max(width_x[i[wide]].max(), width_y[j[wide]].max()))) if len(wide) else 1
+        for at in (wide[w : w + step] for w in range(0, len(wide), step)):
+            near[at] = distances([x.sketches[r] for r in i[at].tolist()], [y.sketches[r] for r in j[at].tolist()])
+        good = near <= bands.most(x.sizes[i] + y.sizes[j])
+        near, i, j = near[good], i[good], j[good]
+        order = np.lexsort((near, i))
+        near, i, j = near[order], i[order], j[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i, "left") < PARTNERS
+        out.append(np.stack([x.ids[i[first]], y.ids[j[first]], near[first]]))
+    a, b, near = np.concatenate(out, 1)
+    return a, b, near
 
 
 def proposals(groups: DataFrame, labels: DataFrame, refused: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -428,12 +451,7 @@ def proposals(groups: DataFrame, labels: DataFrame, refused: DataFrame, sets: Da
         if (labels != labels[0]).any() and (i == j or (own == i).any() and (own == j).any()):
             whole = Sets(column("doc_id"), labels, column("n_shingles"), t.column("sketch").to_pylist(), t.column("no").to_pylist())
             x = whole if i == j else whole.take(np.flatnonzero(own == i))
-            a, b, near = comparable(x, x if i == j else whole.take(np.flatnonzero(own == j)), i == j, bands)
-            order = np.lexsort((near, a))
-            a, b = a[order], b[order]
-            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-            rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-            a, b = a[rank < PARTNERS], b[rank < PARTNERS]
+            a, b, _ = comparable(x, x if i == j else whole.take(np.flatnonzero(own == j)), i == j, bands)
         return pa.table({"pivot": pa.array(np.full(len(a), t.column("pivot")[0].as_py(), np.int64)), "a": pa.array(a), "b": pa.array(b)})
 
     found = placed.groupBy("pivot", "i", "j").applyInArrow(compare, "pivot bigint, a bigint, b bigint")
