@@ -27,11 +27,24 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+#: With it, the shuffle files of a query go at the query's end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts the lineage, and survives lost executors."""
+    """df written once to the shared folder and read back: cuts the lineage, and survives lost executors.
+
+    The written table stands for df from then on, so the shuffle files that made it are deleted at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # a plan of its own: how a plan's shuffle files are cleaned is settled when it is made
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
