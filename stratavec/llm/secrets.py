@@ -35,7 +35,8 @@ PREFIXES = {"AKIA": "aws", "ASIA": "aws", "ghp_": "github", "gho_": "github", "x
 
 _KEYBLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
 _RUN = r"[A-Za-z0-9_+/=-]{16,}(?:\.[A-Za-z0-9_+/=-]{16,}){0,2}"
-_SET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*[:=][ \t]*[\"']?(?P<value>[^\s\"',;<>]{6,64})"
+# an assigned value goes on to its delimiter, however long it is; a key block is taken whole
+_SET = rf"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*[:=][ \t]*[\"']?(?P<value>{_KEYBLOCK}|[^\s\"',;<>]{{6,}})"
 _CANDIDATE = re.compile(f"{_KEYBLOCK}|{_SET}|{_RUN}")
 _QUICK = re.compile(r"[0-9_+/=:]|-----BEGIN")
 _WORD = re.compile(r"[A-Za-z]{3,}")

@@ -31,6 +31,16 @@ def test_coverage():
     assert s.coverage("userpage", {"user", "page"}) == 1 and s.coverage("zzzz", {"user"}) == 0 and s.coverage("", set()) == 0
 
 
+def test_assigned_values_are_taken_whole():
+    rng = np.random.default_rng(3)
+    run = lambda n: "".join(rng.choice(list("abcXYZ0189"), n))
+    block = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(run(64) for _ in range(50)) + "\n-----END PRIVATE KEY-----"
+    for value in (*(run(n - 1) + "7" for n in (64, 65, 80, 2000)), "github_pat_" + run(82), "eyJ" + ".".join(run(40) for _ in range(3)), "p!" + run(300), block):
+        for lead, end in (("token = ", " "), ('secret="', '"'), ("password: ", ""), ("api_key=", ";")):
+            text = f"set {lead}{value}{end} later"
+            assert [text[a:b] for a, b, _ in s.candidates(text)] == [value]
+
+
 EDGES = [(1, None), (2, ""), (3, "plain words only"), (4, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (4, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (None, "password: hunter2pass9!x"),
          (5, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 fixed"), (6, "x " * 100_000 + "ghp_Zk3vQ9rT1mXw7Lp2Ns8Yb4Hc6Jd0Fg5VaEu"), (7, "-----BEGIN PRIVATE KEY-----\nMIIEvQ\n-----END PRIVATE KEY-----"), (8, "4785380592391139 4785380592391139")]
 
