@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import texts
+from stratavec.llm.common import discard, stored, texts
 
 FINDINGS = 6000  # labelled findings that the forest learns from
 TREES, DEPTH = 48, 9
 THRESHOLD = 0.5
 FREQUENT = 16_384  # a dictionary word is at least one in so many words of the corpus: no more can be kept
+HELD = 1 << 19  # distinct words that a task counts before it hands them on
 CONTEXT = 48  # characters on either side
 
 # Words that come with secrets, and with what only looks like one.
@@ -200,26 +201,34 @@ def train(findings: list[tuple[str, int, int, int]], dictionary: set[str], seed:
 def frequent_words(docs: DataFrame, one_in: int = FREQUENT) -> set[str]:
     """Words of at least four letters that are one in ``one_in`` of the corpus or more, by counts over all texts.
 
-    A task hands on the words that are one in 2 * one_in of its own, at most so many; a word that frequent
-    overall is that frequent somewhere, so none is missed, and both the shuffle and the result are bounded.
+    Tasks hand on the counts of all their words, in blocks of at most HELD distinct ones; only sums over the
+    whole corpus are compared with the threshold, so the result doesn't depend on how texts are dealt out.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        n, total = 0, Counter()
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            words, counts = list(total), list(total.values())
+            total.clear()
+            for k in range(0, len(words), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + (1 << 16)], pa.string()), pa.array(counts[k : k + (1 << 16)], pa.int64())], ["word", "c"])
+
         for batch in batches:
             for t in batch.column(1).to_pylist():
-                total.update(_WORD.findall(t.lower()) if t else ())
-            if len(total) > 1 << 20:
-                total = Counter({w: c for w, c in total.items() if c > 1})
-        n = sum(total.values())
-        kept = [(w, c) for w, c in total.items() if c * 2 * one_in >= n]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept] + [""], pa.string()), pa.array([c for _, c in kept] + [n], pa.int64())], ["word", "c"])
-
-    counted = texts(docs).mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+                own = _WORD.findall(t.lower()) if t else ()
+                n += len(own)
+                total.update(w for w in own if len(w) >= 4)
+                if len(total) > HELD:
+                    yield from handed()
+        total[""] = n  # all words, those of three letters too
+        yield from handed()
+
+    counted = stored(texts(docs).mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "frequent")
     n = counted.where("word = ''").first()
-    if not n:
-        return set()
-    return {r["word"] for r in counted.where((F.length("word") >= 4) & (F.col("c") * one_in >= n["c"])).collect()}
+    found = counted.where((F.col("word") != "") & (F.col("c") * one_in >= n["c"])).collect() if n else []
+    discard(counted)
+    return {r["word"] for r in found}
 
 
 def scan(docs: DataFrame, forest: Forest, dictionary: set[str]) -> DataFrame:

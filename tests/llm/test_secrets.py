@@ -61,3 +61,15 @@ def test_frequent_words(spark):
     rows = [(k, "Common words here " + f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}xyz") for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert s.frequent_words(docs, 50) == {"common", "words", "here"} and s.frequent_words(docs.limit(0)) == set()
+
+
+def test_frequent_words_are_counted_over_all_tasks(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = [f"rare{a}{b}{c}" for a in letters for b in letters for c in letters]
+    # 34 in 1000 in one task and 9 in 1000 in the other: 1 in 46.5 of all, though only 1 in 111 of the second
+    rows = [(1, " ".join(["halfword"] * 34 + rare[:966])), (2, " ".join(["halfword"] * 9 + rare[966:1957]))]
+    for held in (s.HELD, 100):
+        monkeypatch.setattr(s, "HELD", held)
+        for tasks in (1, 2):
+            docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks), "doc_id bigint, text string")
+            assert s.frequent_words(docs, 50) == {"halfword"} and s.frequent_words(docs, 46) == set()
