@@ -66,7 +66,7 @@ def _classes(s: str) -> list[int]:
 
 def coverage(s: str, dictionary: set[str]) -> float:
     """Share of the string's characters inside dictionary words of four letters or more (longest match first)."""
-    low, covered, at = s.lower()[:512], 0, 0
+    low, covered, at = s.lower(), 0, 0
     while at < len(low):
         for n in range(min(14, len(low) - at), 3, -1):
             if low[at : at + n] in dictionary:
@@ -83,10 +83,10 @@ FEATURES = 20
 
 def features(text: str, a: int, b: int, dictionary: set[str]) -> list[float]:
     s = text[a:b]
-    kinds = _classes(s[:2048])
+    kinds = _classes(s)
     n = len(kinds)
     moves = Counter(zip(kinds, kinds[1:]))
-    counts = Counter(s[:2048])
+    counts = Counter(s)
     entropy = -sum(c / n * np.log2(c / n) for c in counts.values())
     before, after = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
     near = [w.lower() for w in [*_NEAR.findall(before)[-4:], *_NEAR.findall(after)[:3]]]

@@ -41,6 +41,17 @@ def test_assigned_values_are_taken_whole():
             assert [text[a:b] for a, b, _ in s.candidates(text)] == [value]
 
 
+def test_features_are_of_the_whole_candidate():
+    value = "userpage" * 64 + "Zq7/" * 1000
+    text = f"token = {value} end"
+    x = s.features(text, 8, 8 + len(value), WORDS)
+    n = len(value)
+    share = np.array([value.count(c) / n for c in sorted(set(value))])
+    assert x[0] == n and np.isclose(x[2], -(share * np.log2(share)).sum())
+    assert np.allclose([x[8], x[9], x[10], x[12], x[13]], [1000 / n, 1000 / n, 1000 / n, 512 / n, 1000 / n])
+    assert np.isclose(x[11], max(share))
+
+
 EDGES = [(1, None), (2, ""), (3, "plain words only"), (4, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (4, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (None, "password: hunter2pass9!x"),
          (5, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 fixed"), (6, "x " * 100_000 + "ghp_Zk3vQ9rT1mXw7Lp2Ns8Yb4Hc6Jd0Fg5VaEu"), (7, "-----BEGIN PRIVATE KEY-----\nMIIEvQ\n-----END PRIVATE KEY-----"), (8, "4785380592391139 4785380592391139")]
 
