@@ -1,8 +1,8 @@
 """Benchmark passages in documents, found by spaced seeds and verified with substitutions.
 
 A mask reads some positions of a ten-word window and ignores the others, so a window whose words differ only
-there has the same hash. The four masks together hit every 20-word overlap with at most four differing words
-(a test enumerates them). Hashes of the benchmark's windows are joined with those of the documents' windows;
+there has the same hash. The four masks together hit every 20-word overlap with at most four differing words, and
+with the two masks for short items every item of 8 words or more of which a fifth differs (a test enumerates them). Hashes of the benchmark's windows are joined with those of the documents' windows;
 each hit names an item and a diagonal, on which the longest stretch that agrees well enough is sought.
 The benchmark is taken in blocks of bounded size, so what is broadcast is bounded; each block reads all
 documents once.
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from stratavec.llm.common import WordHashes, mix, texts
 
 MASKS = ("1101010011", "1000101111", "1111100001", "1101011001")
+SHORT_MASKS = ("111011", "1100111")  # for items of up to SHORT words, which MASKS don't hit with a fifth differing
+SHORT = 15
 MIN_WORDS = 20  # words of an overlap, or all of a shorter item
 MIN_ITEM = 8  # items of fewer words identify nothing
 AGREEMENT = 0.8
@@ -64,12 +66,10 @@ def build(rows: list[tuple[int, str]]) -> Index:
     hashed = WordHashes()
     items = [(i, hashed.of(words(t))) for i, t in rows]
     items = [(i, h) for i, h in items if len(h) >= MIN_ITEM]
-    span = len(MASKS[0])
-    short = sorted({len(h) for _, h in items if len(h) < span})
-    masks = (*MASKS, *("1" * n for n in short))
+    masks = (*MASKS, *(SHORT_MASKS if any(len(h) <= SHORT for _, h in items) else ()))
     parts = []
     for k, (_, h) in enumerate(items):
-        for mask in MASKS if len(h) >= span else ("1" * len(h),):
+        for mask in masks if len(h) <= SHORT else MASKS:
             w = window_hashes(h, mask)
             parts.append((w, np.full(len(w), k, np.int64), np.arange(len(w))))
     hashes, item, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -79,6 +79,11 @@ def build(rows: list[tuple[int, str]]) -> Index:
     return Index(np.array([i for i, _ in items], np.int64), [h for _, h in items], hashes[order], item[order], at[order], bitmap, masks)
 
 
+def agrees(equal: np.ndarray, share: float = AGREEMENT) -> bool:
+    """At least this share is True."""
+    return int(equal.sum()) * 1000 >= round(share * 1000) * len(equal)
+
+
 def longest_agreement(equal: np.ndarray, share: float = AGREEMENT) -> tuple[int, int]:
     """Start and end of the longest stretch in which at least this share is True, with True at both ends."""
     scale = round(share * 1000)
@@ -117,14 +122,17 @@ def matches(index: Index, hashes: list[np.ndarray]) -> list[tuple[int, int, int,
         rows = np.stack([doc, index.item[entry], pos - starts[doc] - index.at[entry]], 1)[inside]
         found |= set(map(tuple, np.unique(rows, axis=0).tolist()))
     best = {}
-    for doc, item, diagonal in found:
+    for doc, item, diagonal in sorted(found):
         d, t = hashes[doc], index.items[item]
         first, last = max(0, -diagonal), min(len(t), len(d) - diagonal)
         equal = d[first + diagonal : last + diagonal] == t[first:last]
-        a, b = longest_agreement(equal)
-        least = MIN_WORDS if len(t) >= MIN_WORDS else len(t)
-        if b - a >= least and b - a > best.get((doc, item), (0, 0, 0))[2]:
-            best[doc, item] = (first + diagonal + a, first + a, b - a, int(equal[a:b].sum()))
+        if len(t) > MIN_WORDS:
+            a, b = longest_agreement(equal)
+        else:  # all of the item or nothing, wherever the differing words are
+            a, b = 0, len(t) if last - first == len(t) and agrees(equal) else 0
+        own = (b - a, int(equal[a:b].sum()))
+        if b - a >= min(MIN_WORDS, len(t)) and own > best.get((doc, item), (0, 0, 0, 0))[2:]:
+            best[doc, item] = (first + diagonal + a, first + a, *own)
     return [(doc, item, *v) for (doc, item), v in sorted(best.items())]
 
 
@@ -154,9 +162,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, hashed: WordHashes)
 def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each pair of a document and a benchmark item that overlap: doc_id, item_id, doc_start, item_start, n_words, n_equal.
 
-    An overlap is a stretch without insertions of at least MIN_WORDS words (all of a shorter item) of which at
-    least AGREEMENT are equal; the longest is reported, in words. Items under MIN_ITEM words never match, those
-    under ten only as a whole and exactly. Null texts and items have no words. Repeated rows are reported each.
+    An overlap is a stretch without insertions of at least MIN_WORDS words, equal at both ends, of which at least
+    AGREEMENT are equal; of an item of up to MIN_WORDS words it is all of the item, with differing words anywhere.
+    The longest is reported, in words. Items under MIN_ITEM words never match. Null texts and items have no words.
+    Repeated rows are reported each.
     """
     own, out = texts(docs), None
     ddl = "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_words bigint, n_equal bigint"

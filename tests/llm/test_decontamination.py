@@ -43,6 +43,31 @@ def test_masks_find_every_overlap():
             assert any(not p & bits for p in placed)
 
 
+def test_masks_find_every_short_item():
+    for n in range(dc.MIN_ITEM, dc.MIN_WORDS + 1):
+        masks = [m for m in (*dc.MASKS, *(dc.SHORT_MASKS if n <= dc.SHORT else ())) if len(m) <= n]
+        placed = [sum(1 << (s + k) for k, c in enumerate(m) if c == "1") for m in masks for s in range(n - len(m) + 1)]
+        for wrong in itertools.combinations(range(n), n // 5):
+            bits = sum(1 << p for p in wrong)
+            assert any(not p & bits for p in placed), (n, wrong)
+
+
+def test_short_items_with_substitutions():
+    """Every placement of as many differing words as AGREEMENT allows (a few of one more), in the middle of noise."""
+    for n in (8, 9, 10, 11, 12, 15, 18, 20):
+        item = [f"i{k}" for k in range(n)]
+        index = dc.build([(7, " ".join(item))])
+        most = n // 5
+        placements = list(itertools.combinations(range(n), most))
+        if len(placements) > 500:
+            placements = [placements[k] for k in RNG.choice(len(placements), 497, replace=False)] + [(0, *range(n - most + 1, n)), (*range(most - 1), n - 1), tuple(range(most))]
+        more = list(itertools.combinations(range(n), most + 1))[:50]
+        docs = [["a", "b", *("x" if k in wrong else w for k, w in enumerate(item)), "c"] for wrong in (*placements, *more)]
+        hashed = dc.WordHashes()
+        got = dc.matches(index, [hashed.of(" ".join(d).encode().split()) for d in docs])
+        assert got == [(k, 0, 2, 0, n, n - most) for k in range(len(placements))]
+
+
 def test_brute(spark):
     rows = docs()
     d = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, item_id string").repartition(3)
