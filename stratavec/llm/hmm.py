@@ -4,6 +4,8 @@ States emit word classes: each word that is at least one in HEAVY of the corpus
 at most HEAVY), all others share BUCKETS classes by hash and have a count-based share of their class. The model's
 size is therefore fixed, while the counts behind it cover every document. Each Baum-Welch pass runs the scaled
 forward-backward recursion over every training document; tasks hand on expected counts, which are summed by class.
+The first model has the class frequencies of all documents, reweighted by chance for each state; passes go on until
+the likelihood hardly gains, in the same way at every size.
 
 A document's score is its exact likelihood by the scaled forward recursion, times the shares of its rare words. The
 counts of rare words stay distributed: a task sends each rare word of a block of documents once, with the documents
@@ -23,16 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import sampled, split_words, stored, texts
+from stratavec.llm.common import discard, split_words, stored, texts
 
 STATES = 8
 HEAVY = 32_768
 BUCKETS = 16_384
-PASSES = 2  # Baum-Welch passes over all training documents
-START_TOKENS = 1_500_000  # tokens, about, of a sample on which the starting point is found
-START_PASSES = 20
+GAIN = 0.002  # passes over all training documents go on until the log-likelihood gains no more than this a token
+START_PASSES = 20  # passes of starting_point over sequences held at once; fit doesn't use it
+LEAN = 0.25  # shape of the gamma weights by which states prefer words at first: the smaller, the further apart
 PRIOR = 2_000.0  # tokens' worth of the corpus's own class frequencies that each state has seen
 BATCH = 1 << 18  # tokens of one recursion (or one document)
+HELD = 1 << 21  # tokens of documents whose lengths are sorted together (or one document)
 BLOCK = 16 << 20  # bytes of texts that are split and scored together (or one document)
 
 
@@ -198,13 +201,19 @@ def _batches(ids: list[np.ndarray]) -> Iterator[list[int]]:
         yield held
 
 
+def by_chance(v: Vocabulary, states: int, seed: int = 42) -> Model:
+    """States that keep to themselves, each with the corpus's class frequencies times weights of its own.
+
+    The weights don't depend on the corpus's size, so neither does how far the states are apart.
+    """
+    emit = (v.counts + 1)[:, None] * np.random.default_rng(seed).gamma(LEAN, size=(v.classes, states))
+    trans = 20.0 * np.eye(states) + 0.01
+    return Model(np.full(states, 1 / states), trans / trans.sum(1, keepdims=True), (emit + 1e-9) / (emit + 1e-9).sum(0))
+
+
 def starting_point(ids: list[np.ndarray], v: Vocabulary, states: int = STATES, seed: int = 42) -> Model:
-    """Baum-Welch on the sample; at first every document is in one state of its own, by chance."""
-    rng = np.random.default_rng(seed)
-    classes = np.zeros((v.classes, states))
-    for x in ids:
-        np.add.at(classes[:, rng.integers(states)], x, 1.0)
-    model = maximised(np.ones(states), 20.0 * len(ids) * np.eye(states) + 0.01 * len(ids), classes, v)
+    """START_PASSES passes over sequences that are held at once."""
+    model = by_chance(v, states, seed)
     for _ in range(START_PASSES if ids else 0):
         parts = [forward(model, [ids[i] for i in own], True)[1] for own in _batches(ids)]
         model = maximised(*(sum(p) for p in zip(*parts)), v)
@@ -217,46 +226,83 @@ def _sequences(batches: Iterator[pa.RecordBatch], heavy: pa.Array) -> Iterator[l
             yield np.split(classes_of(e.distinct, heavy)[e.index], np.cumsum(e.lengths)[:-1])
 
 
-def baum_welch(train: DataFrame, model: Model, v: Vocabulary) -> Model:
-    """One pass over all training documents: expected counts of all tasks, summed by class, then maximised."""
-    spark, k = train.sparkSession, model.states
-    shared = spark.sparkContext.broadcast((model, v.heavy))
+def numbered(train: DataFrame, v: Vocabulary) -> DataFrame:
+    """ids: the classes of every document's tokens."""
+    shared = train.sparkSession.sparkContext.broadcast(v.heavy)
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _sequences(batches, shared.value):
+            ends = np.cumsum([0, *(len(x) for x in own)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).astype(np.int32)))], ["ids"])
+
+    return train.mapInArrow(ids, "ids array<int>")
+
+
+def one_pass(sequences: DataFrame, model: Model, v: Vocabulary) -> tuple[Model, float]:
+    """One pass over all of :func:`numbered`: expected counts of all tasks, summed by class, then maximised.
+
+    Also the log-likelihood of the model that came in.
+    """
+    spark, k = sequences.sparkSession, model.states
+    shared = spark.sparkContext.broadcast(model)
     names = [f"s{i}" for i in range(k)]
 
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        ids, size = [], 0
+        for batch in batches:
+            column = batch.column(0)
+            ends = np.cumsum(np.asarray(column.value_lengths()))
+            own = np.split(np.asarray(column.flatten()), ends[:-1]) if len(ends) else []
+            for x in own:
+                if ids and size + len(x) > HELD:
+                    yield ids
+                    ids, size = [], 0
+                ids.append(x)
+                size += len(x)
+        if ids:
+            yield ids
+
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, heavy = shared.value
-        total = None
-        for ids in _sequences(batches, heavy):
+        m, total, likely = shared.value, None, 0.0
+        for ids in held(batches):
             for own in _batches(ids):
-                got = forward(m, [ids[i] for i in own], True)[1]
+                logs, got = forward(m, [ids[i] for i in own], True)
+                likely += logs.sum()
                 total = got if total is None else tuple(a + b for a, b in zip(total, got))
         if total:
             start, moves, classes = total
             seen = np.flatnonzero(classes.any(1))
-            rows = np.concatenate([start[None], moves, classes[seen]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.arange(-1 - k, 0), seen])), *(pa.array(rows[:, i].copy()) for i in range(k))], ["class", *names])
+            rows = np.concatenate([np.full((1, k), likely), start[None], moves, classes[seen]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.arange(-2 - k, 0), seen])), *(pa.array(rows[:, i].copy()) for i in range(k))], ["class", *names])
 
-    sums = train.mapInArrow(expect, "class bigint, " + ", ".join(f"{n} double" for n in names)).groupBy("class").agg(*(F.sum(n).alias(n) for n in names))
-    got = sums.toPandas().set_index("class").reindex(range(-1 - k, v.classes), fill_value=0.0).to_numpy()
+    sums = sequences.mapInArrow(expect, "class bigint, " + ", ".join(f"{n} double" for n in names)).groupBy("class").agg(*(F.sum(n).alias(n) for n in names))
+    got = sums.toPandas().set_index("class").reindex(range(-2 - k, v.classes), fill_value=0.0).to_numpy()
     shared.unpersist()
-    return maximised(got[0], got[1 : k + 1], got[k + 1 :], v)
+    return maximised(got[1], got[2 : k + 2], got[k + 2 :], v), float(got[0, 0])
+
+
+def baum_welch(train: DataFrame, model: Model, v: Vocabulary) -> Model:
+    """The model after one pass over all training documents."""
+    return one_pass(numbered(train, v), model, v)[0]
 
 
-def fit(train: DataFrame, states: int = STATES, passes: int = PASSES) -> tuple[Model, Vocabulary, DataFrame]:
-    """Model, vocabulary and word counts of the training documents' texts (doc_id, text), all of them."""
+def fit(train: DataFrame, states: int = STATES, passes: int | None = None) -> tuple[Model, Vocabulary, DataFrame]:
+    """Model, vocabulary and word counts of the training documents' texts (doc_id, text), all of them.
+
+    Passes are as many as given, else until one shows that the last has gained GAIN a token or less.
+    """
     train = texts(train)
     counts = count_words(train)
     v = vocabulary(counts)
-    few = sampled(train, START_TOKENS, v.total)
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _sequences(batches, v.heavy):
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], ["ids"])
-
-    chosen = few.mapInArrow(ids, "ids array<int>").toPandas()["ids"]  # about START_TOKENS numbers
-    model = starting_point(sorted((np.asarray(x, np.int32) for x in chosen), key=lambda x: (len(x), x.tobytes())), v, states)
-    for _ in range(passes):
-        model = baum_welch(train, model, v)
+    sequences = stored(numbered(train, v), "classes")
+    model, last, done = by_chance(v, states), -np.inf, 0
+    while passes is None or done < passes:
+        model, likely = one_pass(sequences, model, v)
+        done += 1
+        if passes is None and not likely - last > GAIN * v.total:
+            break
+        last = likely
+    discard(sequences)
     return model, v, counts
 
 

@@ -114,6 +114,18 @@ def test_passes_agree_with_one_recursion(spark, monkeypatch):
     assert all(np.allclose(a, b) for a, b in ((one.start, spread.start), (one.trans, spread.trans), (one.emit, spread.emit)))
 
 
+def test_all_documents_make_the_model(spark, monkeypatch):
+    """The same model whatever a sample would hold, and passes until the gain is small."""
+    docs = spark.createDataFrame([t for t in TEXTS if t[0] is not None and t[0] < 60], "doc_id bigint, text string").repartition(4)
+    whole, v, _ = hmm.fit(docs, 3)
+    monkeypatch.setattr(hmm, "START_TOKENS", 100, raising=False)
+    again = hmm.fit(docs, 3)[0]
+    assert all(np.allclose(a, b) for a, b in ((whole.start, again.start), (whole.trans, again.trans), (whole.emit, again.emit)))
+    sequences = hmm.numbered(docs, v)
+    after, likely = hmm.one_pass(sequences, whole, v)
+    assert hmm.one_pass(sequences, after, v)[1] - likely <= hmm.GAIN * v.total
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     m, v, counts = hmm.fit(docs.limit(0))
