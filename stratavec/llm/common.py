@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset on one machine (tests), a temporary one.
+
+    On a cluster a machine's own folder would lose data, so there it must be set.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='stratavec-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _temporary()
+
+
+@lru_cache(1)
+def _temporary() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='stratavec-')}"
 
 
 #: With it, the shuffle files of a query go at the query's end.
@@ -73,15 +83,33 @@ def sampled(docs: DataFrame, most: int, total: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64("doc_id", F.lit(977)), F.lit(1 << 20)) < int((1 << 20) * most / total))
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8 with A-Z lower-cased (bytes methods do just that)."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def filter_place(bits: int) -> Column:
+    """A doc_id's bit in a filter of 2^bits bits."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << bits)).alias("h")
+
 
+def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of doc_ids with 2^bits bits (a power of 6 or more), one bit each; 64 tasks fill it."""
+    shard = bits - 6
 
-def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The rows of Arrow batches as tuples."""
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            h = np.asarray(batch.column(0))
+            for s in np.unique(h >> shard):
+                own.setdefault(int(s), np.zeros(1 << shard, bool))[h[h >> shard == s] & ((1 << shard) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([np.packbits(b).tobytes() for b in own.values()], pa.binary())], ["shard", "bits"])
+
+    rows = ids.select(filter_place(bits)).distinct().repartition(64, F.shiftright("h", shard)).mapInArrow(fold, "shard bigint, bits binary").collect()
+    out = np.zeros((64, (1 << shard) // 8), np.uint8)
+    for r in rows:
+        out[r["shard"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which places of :func:`filter_place` are set."""
+    return (bits[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1
 
 
 class WordHashes(dict):
@@ -143,7 +171,3 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     for k in range(width):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
     return np.unique(out)
-
-
-def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -6,16 +6,18 @@ T_i = 2: at most one shingle of difference) that add up to H + 1, some segment m
 hash of that segment, or of it less one shingle. How many segments get T_i = 2 is chosen for each band by cost,
 measured on a sample: signatures written, and false partners met. Whatever is chosen finds every pair.
 
-Sets that share a signature are grouped around the smallest document among them (a hot group costs one pair for each
-member, never all pairs). Pairs with it are verified exactly. Groups that links don't join into one component are
-searched further, in blocks: parity sketches (XOR of all shingles' bits; their distance never exceeds the sets')
-rule pairs out, the rest is verified, and so on until no pair between components is left. Equal sets are one node
-from the start.
+Equal sets are one node from the start. Nodes that share a signature are grouped around the smallest document among
+them (a hot group costs one pair for each member, never all pairs). Each node is verified with its nearest pivot first;
+these links make a forest. Groups that hold more than one component are searched further, in blocks: parity sketches
+(XOR of all shingles' bits; their distance never exceeds the sets') rule pairs out, the rest is verified, new links
+merge components, and so on until no pair between components is left. Merging works on the components that new links
+touch only, so a round costs what it finds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -24,18 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import mix, sampled, shingles, split_words, stored, texts, word_hashes
+from stratavec.llm.common import discard, filter_place, id_filter, in_filter, mix, sampled, shingles, split_words, stored, texts, word_hashes
 
 WORDS = 3  # words of a shingle
 PERCENT = 90
 SAMPLE = 4096  # documents that the cost of allocations is measured on
 FALSE_PARTNER = 0.05  # cost of a false partner (its sketch is compared), in signatures (written, shuffled, sorted)
 SKETCH = 1024  # least bits of a parity sketch; it has at least one for each shingle
-SMALL_BLOCK, BLOCK = 2048, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
-PARTNERS = 4  # pairs that a set proposes in a round, in a block; the next round brings the rest
+SMALL_BLOCK, BLOCK = 1024, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
+PARTNERS = 4  # pairs that a set proposes in the first round, in a block; each further round brings four times as many
 CHUNK = 1 << 19  # shingles handled at once
 COMPARED = 4 << 20  # bytes of sketches compared at once
-ID_FILTER = 26  # bits of the filter of documents in groups, as a power of two
+FILTERED = 1 << 26  # documents in groups that a broadcast filter picks (16 bits each, so 128 MB); more are joined
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -269,53 +271,42 @@ def groups_of(docs: DataFrame, bands: Bands, plan: dict[int, int], n: int) -> Da
     return dealt.mapInArrow(star, "pivot bigint, doc_id bigint").distinct()
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A fixed-size Bloom filter of doc_ids, one bit each."""
-    shard = ID_FILTER - 6
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h = np.asarray(batch.column(0))
-            for s in np.unique(h >> shard):
-                own = bits.setdefault(int(s), np.zeros(1 << shard, bool))
-                own[h[h >> shard == s] & ((1 << shard) - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([np.packbits(b).tobytes() for b in bits.values()], pa.binary())], ["shard", "bits"])
+def grouped_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, sketch and shingles of the documents in ids (and maybe a few more).
 
-    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << ID_FILTER)).alias("h")
-    rows = ids.select(place).distinct().repartition(64, F.shiftright("h", shard)).mapInArrow(fold, "shard bigint, bits binary").collect()
-    out = np.zeros((64, (1 << shard) // 8), np.uint8)
-    for r in rows:
-        out[r["shard"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+    A filter of ids, broadcast, picks them where they are read; past FILTERED ids the texts are joined with the ids.
+    """
+    docs, count = docs.where("doc_id is not null"), ids.count()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, sets in _chunks(batches, n):
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sketches(sets), pa.binary()), _lists(sets)], ["doc_id", "n_shingles", "sketch", "shingles"])
 
-def grouped_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set hash, sketch and shingles of the documents in groups (and a few that the filter lets by)."""
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    ddl = "doc_id bigint, n_shingles bigint, sketch binary, shingles array<bigint>"
+    if count > FILTERED:
+        return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, ddl)
+    bits = max(20, (16 * count).bit_length())
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, bits))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.asarray(batch.column(2))
-            yield batch.filter(pa.array((shared.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1)).select([0, 1])
+            yield batch.filter(pa.array(in_filter(shared.value, np.asarray(batch.column(2))))).select([0, 1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _chunks(chosen(batches), n):
-            h = _set_hashes(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(sketches(sets), pa.binary()), _lists(sets)], ["doc_id", "n_shingles", "h1", "h2", "sketch", "shingles"])
+    return docs.select("doc_id", "text", filter_place(bits)).mapInArrow(lambda batches: run(chosen(batches)), ddl)
 
-    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << ID_FILTER)).alias("h")
-    return docs.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sketch binary, shingles array<bigint>")
 
+def verified(pairs: DataFrame, sets: DataFrame, bands: Bands, few: bool = False) -> DataFrame:
+    """pairs (a, b, ...) with ``linked``, by their shingles; few: the pairs touch few of the sets, which are picked first.
 
-def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """(a, b, linked) of pairs, by their shingles."""
-    # a document's texts, where rows repeat its doc_id, are told apart by nothing: any two that hold make a link
+    Where rows repeat a doc_id with other texts, any two texts that hold make a link.
+    """
+    if few:
+        sets = sets.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id", "left_semi")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    return both.select("a", "b", (100 * common.cast("bigint") >= bands.percent * union).alias("linked"))
+    return both.select(*pairs.columns, (100 * common.cast("bigint") >= bands.percent * union).alias("linked"))
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -334,22 +325,49 @@ def plausible(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return both.where(sized).mapInArrow(run, "a bigint, b bigint, near bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(doc_id, label): the smallest document reachable by links (a, b), for documents with links.
+def roots(forest: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, up); a node that isn't listed is its own root.
 
-    Labels spread along links and are then replaced by their labels' labels, until none changes.
+    Pointers are doubled, each to what its target points to. Those whose target points nowhere are done and stay
+    where they are stored; the others go on.
     """
-    edges = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    now = stored(edges.groupBy(F.col("a").alias("doc_id")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
+    given = stored(forest.select("node", "up", F.lit(True).alias("open")), "pointers")
+    steps: list[DataFrame] = []
     while True:
-        told = edges.join(now.withColumnRenamed("doc_id", "a"), "a").groupBy(F.col("b").alias("doc_id")).agg(F.min("label").alias("heard"))
-        step = now.join(told, "doc_id").select("doc_id", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        step = stored(step, "labels")
-        jump = step.select(F.col("doc_id").alias("label"), F.col("label").alias("further"))
-        new = stored(step.join(jump, "label").select("doc_id", "was", F.col("further").alias("label")), "labels")
-        if not new.where("label <> was").limit(1).count():
-            return new.select("doc_id", "label")
-        now = new.select("doc_id", "label")
+        last = steps[-1] if steps else given
+        known = reduce(DataFrame.union, [*(s.where("not open") for s in steps[:-1]), last])
+        targets = known.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("open").alias("goes_on"))
+        step = last.where("open").select("node", "up").join(targets, "up", "left")
+        steps.append(stored(step.select("node", F.coalesce("further", "up").alias("up"), F.coalesce("goes_on", F.lit(False)).alias("open")), "pointers"))
+        if not steps[-1].where("open").limit(1).count():
+            discard(given)
+            return reduce(DataFrame.union, [s.where("not open").select("node", F.col("up").alias("root")) for s in steps])
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    """(node, root) for nodes of edges (a, b) that aren't the smallest of their component.
+
+    Nodes hook onto their smallest neighbour where that is smaller; the edges left between different roots go on.
+    """
+    forest: list[DataFrame] = []
+    ends = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    edges = stored(ends(edges), "edges")
+    while edges.limit(1).count():
+        hooks = roots(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
+        forest.append(hooks)
+        to = lambda e, c: e.join(hooks.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        left = stored(ends(to(to(edges, "a"), "b")), "edges")
+        discard(edges)
+        edges = left
+    if not forest:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    discard(edges)
+    if len(forest) == 1:
+        return forest[0]
+    out = roots(reduce(DataFrame.union, forest).withColumnRenamed("root", "up"))
+    for x in forest:
+        discard(x)
+    return out
 
 
 class Sets(NamedTuple):
@@ -379,21 +397,22 @@ def refused_codes(x: Sets, y: Sets) -> np.ndarray:
     no = np.concatenate([np.asarray(x.refused[k], np.int64) for k in rows])
     owner = np.repeat(rows, [len(x.refused[k]) for k in rows])
     order = np.argsort(y.ids, kind="stable")
-    at = np.minimum(np.searchsorted(y.ids[order], no), len(order) - 1)
-    there = y.ids[order[at]] == no
-    return owner[there] * len(order) + order[at[there]]
+    low, high = (np.searchsorted(y.ids[order], no, side) for side in ("left", "right"))
+    count = high - low  # more than one where rows repeat an id
+    at = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(owner, count) * len(order) + order[at]
 
 
-def comparable(x: Sets, y: Sets, same: bool, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (of x, of y) of different labels that sketches allow and that weren't refused, with their distance.
+def comparable(x: Sets, y: Sets, same: bool, bands: Bands, partners: int) -> np.ndarray:
+    """Pairs (of x, of y) of different labels that sketches allow and that weren't refused, and the labels.
 
     Both sides go by size, so that a few rows of x meet one stretch of y; sketches folded to the least size rule out
-    most pairs, full ones the rest. Each row of x keeps its PARTNERS nearest, so what is held stays in proportion to
+    most pairs, full ones the rest. Each row of x keeps its nearest ``partners``, so what is held stays in proportion to
     the rows. same: x and y are one block, and each pair is met once.
     """
     x = x.by_size()
     y = x if same else y.by_size()
-    out = [np.zeros((3, 0), np.int64)]
+    out = [np.zeros((4, 0), np.int64)]
     mark_x = x.small_marks()
     mark_y = mark_x if same else y.small_marks()
     width_x, width_y = (np.array([len(m) for m in z.sketches], np.int64) for z in (x, y))
@@ -421,41 +440,58 @@ def comparable(x: Sets, y: Sets, same: bool, bands: Bands) -> tuple[np.ndarray,
         near, i, j = near[good], i[good], j[good]
         order = np.lexsort((near, i))
         near, i, j = near[order], i[order], j[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i, "left") < PARTNERS
-        out.append(np.stack([x.ids[i[first]], y.ids[j[first]], near[first]]))
-    a, b, near = np.concatenate(out, 1)
-    return a, b, near
-
-
-def proposals(groups: DataFrame, labels: DataFrame, refused: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """(pivot, a, b): plausible pairs of one group and two components, at most PARTNERS of each set and block, nearest first."""
-    label = F.coalesce("label", "doc_id").alias("label")
-    members = groups.union(groups.select("pivot", F.col("pivot").alias("doc_id"))).distinct()
-    members = stored(members.join(labels, "doc_id", "left").select("pivot", "doc_id", label), "members")
-    open_groups = members.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    size = F.greatest(F.least(F.col("n") / 32, F.lit(float(BLOCK))), F.lit(float(min(SMALL_BLOCK, BLOCK))))
-    blocks = F.ceil(F.col("n") / size).cast("int")
-    placed = members.join(stored(open_groups.select("pivot", blocks.alias("blocks")), "open"), "pivot")
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    both_ways = refused.union(refused.select(F.col("b"), F.col("a")))
-    no = both_ways.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("no"))
-    sketched = sets.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
-    placed = placed.join(sketched, "doc_id").join(no, "doc_id", "left")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.withColumn("other", other).select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "n_shingles", "sketch", "no")
+        first = np.arange(len(i)) - np.searchsorted(i, i, "left") < partners
+        i, j = i[first], j[first]
+        out.append(np.stack([x.ids[i], y.ids[j], x.labels[i], y.labels[j]]))
+    return np.concatenate(out, 1)
+
+
+def open_groups(members: DataFrame) -> DataFrame:
+    """Groups with more than one label: pivot, top (its most frequent label), major and minor (members with it and without)."""
+    counts = members.groupBy("pivot", "label").agg(F.count("*").alias("c"))
+    top = F.max(F.struct("c", "label")).alias("top")
+    groups = counts.groupBy("pivot").agg(top, F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    return groups.select("pivot", F.col("top.label").alias("top"), F.col("top.c").alias("major"), (F.col("n") - F.col("top.c")).alias("minor"))
+
+
+def proposals(members: DataFrame, groups: DataFrame, refused: DataFrame | None, sets: DataFrame, bands: Bands, partners: int = PARTNERS) -> DataFrame:
+    """(pivot, a, b, label_a, label_b): plausible pairs of one group and two labels, at most ``partners`` of a set in a block, nearest first.
+
+    members: pivot, doc_id, label; groups: as of :func:`open_groups`. A group of more than one block's sets is cut into
+    blocks of its most frequent label and blocks of others; two blocks of the frequent label needn't meet.
+    """
+    n = F.col("major") + F.col("minor")
+    size = F.greatest(F.least(n / 32, F.lit(float(BLOCK))), F.lit(float(min(SMALL_BLOCK, BLOCK))))
+    whole = n <= size
+    cut = groups.select("pivot", "top", F.when(whole, 1).otherwise(F.ceil(F.col("minor") / size)).cast("int").alias("minors"), F.when(whole, 0).otherwise(F.ceil(F.col("major") / size)).cast("int").alias("majors"))
+    placed = members.join(cut, "pivot")
+    major = (F.col("majors") > 0) & (F.col("label") == F.col("top"))
+    h = F.xxhash64("doc_id")
+    placed = placed.withColumn("own", F.when(major, F.col("minors") + F.pmod(h, F.col("majors"))).otherwise(F.pmod(h, F.col("minors"))).cast("int"))
+    placed = placed.withColumn("last", F.when(major, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)
+    placed = placed.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    if refused is None:
+        placed = placed.withColumn("no", F.lit(None).cast("array<bigint>"))
+    else:
+        both_ways = refused.union(refused.select("b", "a"))
+        placed = placed.join(both_ways.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("no")), "doc_id", "left")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "n_shingles", "sketch", "no")
 
     def compare(t: pa.Table) -> pa.Table:
         column = lambda c: np.asarray(t.column(c).combine_chunks())
         i, j, own, labels = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py()), column("own"), column("label")
-        a = b = np.zeros(0, np.int64)
+        found = np.zeros((4, 0), np.int64)
         if (labels != labels[0]).any() and (i == j or (own == i).any() and (own == j).any()):
             whole = Sets(column("doc_id"), labels, column("n_shingles"), t.column("sketch").to_pylist(), t.column("no").to_pylist())
             x = whole if i == j else whole.take(np.flatnonzero(own == i))
-            a, b, _ = comparable(x, x if i == j else whole.take(np.flatnonzero(own == j)), i == j, bands)
-        return pa.table({"pivot": pa.array(np.full(len(a), t.column("pivot")[0].as_py(), np.int64)), "a": pa.array(a), "b": pa.array(b)})
+            found = comparable(x, x if i == j else whole.take(np.flatnonzero(own == j)), i == j, bands, partners)
+        pivot = np.full(found.shape[1], t.column("pivot")[0].as_py(), np.int64)
+        return pa.table([pa.array(pivot), *(pa.array(c.copy()) for c in found)], ["pivot", "x", "y", "label_x", "label_y"])
 
-    found = placed.groupBy("pivot", "i", "j").applyInArrow(compare, "pivot bigint, a bigint, b bigint")
-    return found.select("pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = placed.groupBy("pivot", "i", "j").applyInArrow(compare, "pivot bigint, x bigint, y bigint, label_x bigint, label_y bigint")
+    first = F.col("x") < F.col("y")
+    turned = lambda c, d: F.when(first, F.col(c)).otherwise(F.col(d))
+    return found.select("pivot", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), turned("label_x", "label_y").alias("label_a"), turned("label_y", "label_x").alias("label_b"))
 
 
 def similar_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -463,8 +499,8 @@ def similar_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
 
     Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a set holds the distinct n-word shingles, or the whole sequence of
     fewer words. Two documents link if 100 * |intersection| >= percent * |union|. Null, empty and blank texts have no
-    shingles and link with nothing. Rows that repeat a doc_id are one document. A null doc_id has a null
-    component_id and links with nothing.
+    shingles and link with nothing. Rows that repeat a doc_id are one document, which links by any of its texts. A null
+    doc_id has a null component_id and links with nothing.
     """
     own, bands = texts(docs), Bands(percent)
     plan = allocation(own, bands, n, own.count())
@@ -472,26 +508,48 @@ def similar_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     real = sets.where("n_shingles > 0 and doc_id is not null")
     same = ["h1", "h2", "n_shingles"]
     classes = stored(real.groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
-    groups = stored(groups_of(own, bands, plan, n), "groups")
-    grouped = stored(grouped_sets(own, groups.select("doc_id").union(groups.select("pivot")), n), "grouped")
-    equal = grouped.select("doc_id", *same).join(classes, same).where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    star = groups.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    # each document with its nearest pivot only: what that doesn't connect, the search below does
-    nearest = plausible(star, grouped, bands).groupBy("b").agg(F.min_by("a", F.struct("near", "a")).alias("a")).select("a", "b")
-    done = stored(verified(stored(nearest, "nearest"), grouped, bands), "verified")
-    links, refused = stored(equal.union(done.where("linked").select("a", "b")), "links"), done.where("not linked").select("a", "b")
+    # the nodes of documents that aren't their only text's node: mostly copies
+    names = stored(real.join(classes, same).select("doc_id", "node").distinct(), "names")
+    copies = stored(names.join(names.where("node <> doc_id").select("doc_id").distinct(), "doc_id", "left_semi"), "copies")
+    discard(names)
+    found = stored(groups_of(own, bands, plan, n), "groups")
+    node = lambda g, c: g.join(copies.withColumnRenamed("doc_id", c), c, "left").withColumn(c, F.coalesce("node", c)).drop("node")
+    groups = stored(node(node(found, "pivot"), "doc_id").where("pivot <> doc_id").select("pivot", "doc_id").distinct(), "groups")
+    discard(found)
+    grouped = stored(grouped_sets(own, groups.select("doc_id").union(groups.select("pivot")).distinct(), n), "grouped")
+    star = groups.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+    # each node with its nearest pivot only: what that doesn't connect, the search below does
+    nearest = stored(plausible(star, grouped, bands).groupBy("b").agg(F.min_by("a", F.struct("near", "a")).alias("a")).select("a", "b"), "nearest")
+    done = stored(verified(nearest, grouped, bands), "verified")
+    discard(nearest)
+    several = copies.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last")
+    several = copies.join(several, "doc_id").select("a", F.col("node").alias("b"))  # texts of one document
+    forest = [merged(done.where("linked").select("a", "b").union(several))]
+    refused, partners, held = done.where("not linked").select("a", "b"), PARTNERS, [groups]
+    members = groups.union(groups.select("pivot", F.col("pivot").alias("doc_id"))).distinct().withColumn("label", F.col("doc_id"))
     while True:
-        labels = components(links)
-        new = stored(proposals(groups, labels, refused, grouped, bands), "proposed")
+        moved = members.join(forest[-1].withColumnRenamed("node", "label"), "label", "left")
+        members = stored(moved.select("pivot", "doc_id", F.coalesce("root", "label").alias("label")), "members")
+        for x in held:
+            discard(x)
+        open_ = stored(open_groups(members), "open")
+        new = stored(proposals(members, open_, refused, grouped, bands, partners), "proposed")
+        held = [members, open_, new]
         if not new.limit(1).count():
             break
-        done = stored(verified(new.select("a", "b").distinct(), grouped, bands), "verified")
-        links = links.union(done.where("linked").select("a", "b"))
+        done = stored(verified(new.drop("pivot").distinct(), grouped, bands, True), "verified")
+        forest.append(merged(done.where("linked").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))))
         refused = refused.union(done.where("not linked").select("a", "b"))
         # a group that proposed nothing is done: links and refusals only take pairs away
-        groups = stored(groups.join(new.select("pivot").distinct(), "pivot", "left_semi"), "groups")
-    named = classes.join(labels.withColumnRenamed("doc_id", "node"), "node", "left")
-    named = stored(named.select(*same, F.coalesce("label", "node").alias("component")), "components")
+        members = members.join(new.select("pivot").distinct(), "pivot", "left_semi")
+        partners *= 4
+    for x in held:
+        discard(x)
+    discard(grouped)
+    labels = roots(reduce(DataFrame.union, forest).withColumnRenamed("root", "up"))
+    for x in (copies, *forest):
+        discard(x)
+    named = classes.join(labels, "node", "left").select(*same, F.coalesce("root", "node").alias("component"))
     out = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, same, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

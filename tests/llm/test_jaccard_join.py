@@ -95,10 +95,44 @@ def test_sketches_tell_large_sets_apart():
     assert len(marks[3]) == 32768 // 8 and jj.distances([marks[2]], [marks[2]])[0] == 0
 
 
-def test_components(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(10, 60)] + [(100, 101), (100, 102), (5, 102)], "a bigint, b bigint")
-    got = {r.doc_id: r.label for r in jj.components(links).collect()}
-    assert all(got[k] == 10 for k in range(10, 61)) and all(got[k] == 5 for k in (5, 100, 101, 102))
+def test_merged(spark):
+    edges = [(k, k + 1) for k in range(10, 60)] + [(100, 101), (100, 102), (5, 102), (7, 7)]
+    rng = np.random.default_rng(3)
+    edges += [(200, int(k)) for k in rng.permutation(np.arange(150, 190))] + [(int(a), int(b)) for a, b in rng.integers(1000, 1400, (300, 2))]
+    got = {r.node: r.root for r in jj.merged(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)).collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((find(a), find(b)))
+        parent[q] = p
+    assert got == {x: find(x) for x in parent if find(x) != x}
+    assert jj.merged(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_roots_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(k + 1, k) for k in range(100)] + [(500, 400)], "node bigint, up bigint")
+    assert {r.node: r.root for r in jj.roots(chain).collect()} == {k: 0 for k in range(1, 101)} | {500: 400}
+
+
+def test_texts_of_one_document_link_together(spark):
+    a, b, c = ("a b c d e f g h", "k l m n o p q r", "s t u v w x y z")
+    data = [(5, a), (5, b), (3, b), (9, a), (7, c), (9, c), (20, "1 2 3 4 5")]
+    got = {r.doc_id: r.component_id for r in jj.similar_components(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert got == {5: 3, 3: 3, 9: 3, 7: 3, 20: 20}
+
+
+def test_joined_texts_as_filtered(spark, monkeypatch):
+    df = spark.createDataFrame(rows(), "doc_id bigint, text string").repartition(3)
+    ids = df.where("doc_id % 3 = 0").select("doc_id")
+    few = {(r.doc_id, len(r.shingles)) for r in jj.grouped_sets(df, ids, 3).collect()}
+    monkeypatch.setattr(jj, "FILTERED", 0)
+    exact = {(r.doc_id, len(r.shingles)) for r in jj.grouped_sets(df, ids, 3).collect()}
+    assert exact <= few and {d for d, _ in exact} == {r.doc_id for r in ids.collect()}
 
 
 def test_refused_pairs_are_not_proposed_again(spark, monkeypatch):
@@ -115,7 +149,21 @@ def test_comparable_leaves_out_refused_pairs():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))] * 3
     x = jj.Sets(np.array([5, 1, 9]), np.array([5, 1, 9]), np.array([100] * 3), jj.sketches(sets), [[9], None, [5]])
-    a, b, near = jj.comparable(x, x, True, jj.Bands(90))
-    assert sorted(zip(a, b)) == [(1, 5), (1, 9)] and not near.any()
-    a, b, _ = jj.comparable(x.take(np.array([2])), x.take(np.array([0, 1])), False, jj.Bands(90))
+    a, b, *labels = jj.comparable(x, x, True, jj.Bands(90), 4)
+    assert sorted(zip(a, b)) == sorted(zip(*labels)) == [(1, 5), (1, 9)]
+    a, b, *_ = jj.comparable(x.take(np.array([2])), x.take(np.array([0, 1])), False, jj.Bands(90), 4)
     assert sorted(zip(a, b)) == [(9, 1)]
+
+
+def test_hot_group_meets_its_frequent_component_once(spark, monkeypatch):
+    """Blocks of a group's most frequent component don't meet each other, and every other pair of sets meets."""
+    monkeypatch.setattr(jj, "SMALL_BLOCK", 4)
+    ids = list(range(40))
+    label = lambda d: 0 if d < 34 else d
+    members = spark.createDataFrame([(0, d, label(d)) for d in ids], "pivot bigint, doc_id bigint, label bigint")
+    h = np.unique(np.random.default_rng(5).integers(0, 2**63, 50).astype(np.uint64))
+    sets = spark.createDataFrame([(d, 50, bytearray(jj.sketches([h])[0])) for d in ids], "doc_id bigint, n_shingles bigint, sketch binary")
+    groups = jj.open_groups(members)
+    assert [tuple(r) for r in groups.collect()] == [(0, 0, 34, 6)]
+    got = {(r.a, r.b): (r.label_a, r.label_b) for r in jj.proposals(members, groups, None, sets, jj.Bands(90), 100).collect()}
+    assert got == {(a, b): (label(a), label(b)) for a in ids for b in ids if a < b and label(a) != label(b)}
