@@ -18,21 +18,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCALE = 256
-CANDIDATES = 8192  # vectors of a candidate block, about
-QUERIES = 2048  # vectors of a query block, about
+CANDIDATES = 32_768  # vectors of a candidate block, about
+QUERIES = 8192  # vectors of a query block, about
+MOST = float(1 << 62)  # bound of a squared norm, so that no sum of products leaves 64 bits
 FIRST_DEPTH = 16
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and v, the components floor(scale * x) as long; without null, empty or non-finite vectors and ids.
 
-    Components whose product with scale leaves +-2^31 would overflow the exact sums and are an error.
+    Scores are exact 64-bit sums. Where scaled components are so large that a sum of products could leave 64 bits,
+    :func:`top_k` raises an OverflowError before it searches; nothing is rounded or wraps.
     """
     x = F.transform(vectors["embedding"], lambda c: c.cast("double"))
     own = vectors.select(vectors["vec_id"].cast("bigint").alias("vec_id"), x.alias("x"))
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     own = own.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & ~F.coalesce(F.exists("x", bad), F.lit(False)))
-    return own.select("vec_id", F.transform("x", lambda c: F.floor(c * float(scale))).alias("v"))
+    norm = F.aggregate("x", F.lit(0.0), lambda a, c: a + F.floor(c * float(scale)).cast("double") * F.floor(c * float(scale)).cast("double"))
+    return own.select("vec_id", F.transform("x", lambda c: F.floor(c * float(scale))).alias("v"), norm.alias("norm"))
 
 
 class Lists:
@@ -80,13 +83,17 @@ class Lists:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int = CANDIDATES, per_block: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best other vectors, ties to the smaller vec_id.
 
-    Both frames are (vec_id, v) as of :func:`quantised`; a repeated vec_id counts once (largest vector), vectors of
-    another length than the query's take no part for it. Every query block meets every candidate block in one
-    task; both are of bounded size, whatever the tables hold.
+    Both frames are (vec_id, v, norm) as of :func:`quantised`. Every row counts: rows that repeat a vec_id are
+    candidates each (but for a query of that vec_id), and their results as queries are ranked together. Vectors of
+    another length than the query's take no part for it. A block of queries meets a block of candidates in one
+    task; both are of bounded size, whatever the tables hold, and only tasks' winners are merged.
     """
-    vectors = vectors.groupBy("vec_id").agg(F.max("v").alias("v"))
-    queries = queries.groupBy("vec_id").agg(F.max("v").alias("v"))
-    blocks, sets = (max(1, -(-df.count() // size)) for df, size in ((vectors, candidates), (queries, per_block)))
+    size = lambda df: df.agg(F.count("*").alias("n"), F.max("norm").alias("norm")).first()
+    (n, large), (m, asked_large) = size(vectors), size(queries)
+    if n and m and (large * asked_large) ** 0.5 >= MOST:  # by Cauchy and Schwarz, of every part of a sum too
+        raise OverflowError(f"inner products of vectors with squared norms up to {max(large, asked_large):.3g} may leave 64 bits")
+    vectors, queries = vectors.select("vec_id", "v"), queries.select("vec_id", "v")
+    blocks, sets = max(1, -(-n // candidates)), max(1, -(-m // per_block))
     place = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     left = vectors.select(place(blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"), "vec_id", "v")
     right = queries.select(place(sets, 2).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
