@@ -72,35 +72,40 @@ def _bytes_of(token: str, table: dict[str, int]) -> bytes:
 
 @lru_cache(1)
 def encoder(path: str):
-    """text -> ids by the vocabulary file, special tokens read as ordinary text.
+    """text -> ids by the vocabulary file, as the tokenizers library gives them without special tokens added.
 
-    The file's merges are ranked by id, so the ids are those of the tokenizers library (tests compare them);
-    the rank encoder needs a third of its time, and the library takes over for a text it can't do.
+    The file's merges are ranked by id, so the ids are the library's (tests compare them); the rank encoder needs a
+    third of its time. Texts of the file's special tokens have these tokens' ids, as in the library; it takes over
+    for a text that the rank encoder can't do.
     """
+    import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer, pre_tokenizers
 
-    vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+    file = json.load(open(path, encoding="utf-8"))
+    vocabulary, added = file["model"]["vocab"], file["added_tokens"]
+    special = {t["content"]: t["id"] for t in added}
+    cut_plainly = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
     shown = sorted(pre_tokenizers.ByteLevel.alphabet())
     plain = [c for c in shown if ord(c) < 256]
     table = {c: ord(c) for c in plain}
     rest = sorted(set(range(256)) - set(table.values()))
     table |= dict(zip(sorted(set(shown) - set(plain)), rest))
-    ranks = {_bytes_of(t, table): i for t, i in vocabulary.items() if all(c in table for c in t)}
-    ranks.pop(b"<|endoftext|>", None)
-    import public_tokenizers
-
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {_bytes_of(t, table): i for t, i in vocabulary.items() if t not in special and all(c in table for c in t)}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
 
     def encode(text: str) -> list[int]:
         try:
-            return fast.encode_ordinary(text)
+            if not any(t in text for t in special):
+                return fast.encode_ordinary(text)
+            if cut_plainly:
+                return fast.encode(text, allowed_special="all")
         except (KeyboardInterrupt, SystemExit, MemoryError):
             raise
         except BaseException:  # the extension reports its limits (very long runs) as a panic
-            return slow.encode(text, add_special_tokens=False).ids
+            pass
+        return slow.encode(text, add_special_tokens=False).ids
 
     return encode
 

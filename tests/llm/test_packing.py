@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from stratavec.llm import packing
 
-TEXTS = [(1, "Hello world  it's 42!\n\n"), (2, None), (3, ""), (4, "é" * 9000 + " <|endoftext|> \u0000 日本語"), (5, "the cat " * 3000), (5, "the cat " * 3000), (None, "x"), (7, " " * 5000 + "a" * 5000)]
+TEXTS = [(1, "Hello world  it's 42!\n\n"), (2, None), (3, ""), (4, "é" * 9000 + " <|endoftext|> \u0000 日本語"), (8, "a <|endoftext|> b<|endoftext|><|endoftext|>c <|endoftext"), (9, "<|endoftext|>"), (5, "the cat " * 3000), (5, "the cat " * 3000), (None, "x"), (7, " " * 5000 + "a" * 5000)]
 
 
 @given(st.lists(st.integers(1, 512), max_size=60))
@@ -28,7 +28,6 @@ def test_differencing_is_even():
 def test_pack(spark):
     path = packing.tokenizer_path()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     docs = spark.createDataFrame([(d, t, "x") for d, t in TEXTS], "doc_id bigint, text string, length string").repartition(2)
     rows = packing.pack(docs, path, with_ids=True).collect()
     want = {d: tok.encode(t or "", add_special_tokens=False).ids + [1] for d, t in TEXTS}
@@ -51,6 +50,16 @@ def test_pack(spark):
         assert end == total <= 2048
 
 
+def test_ids_of_a_whole_table(spark):
+    """Every document's ids are the library's, without any flag; with special tokens' texts put in here and there."""
+    path = packing.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    encode = packing.encoder(path)
+    for k, r in enumerate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()):
+        text = (r.text or "") if k % 3 else f"{(r.text or '')[:50]}<|endoftext|>{(r.text or '')[50:]} <|endoftext|>"
+        assert encode(text) == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_padding(spark):
     rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     sequences = {r.sequence_id: r.sequence_tokens for r in rows}
