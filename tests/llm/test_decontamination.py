@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 
@@ -89,6 +90,36 @@ def test_empty(spark):
     assert dc.decontaminate(some, items).count() == len(docs())
 
 
+def test_repeated_words_are_exact_and_fast(monkeypatch):
+    """Texts of few different words, where windows repeat, against all diagonals; and long ones in little time."""
+    rng = np.random.default_rng(8)
+    hashed = dc.WordHashes()
+    of = lambda t: hashed.of(t.encode().split())
+    for joined in (1 << 21, 7):
+        monkeypatch.setattr(dc, "JOINED", joined)
+        for _ in range(40):
+            runs = lambda n: " ".join(w for k in range(n) for w in [f"r{rng.integers(2)}"] * int(rng.integers(1, 16)))
+            items, texts = [runs(int(rng.integers(1, 6))) for _ in range(3)], [runs(int(rng.integers(1, 12))) for _ in range(3)]
+            index = dc.build(list(enumerate(items)))
+            got = {(d, int(index.ids[i])): n for d, i, _, _, n, _ in dc.matches(index, [of(t) for t in texts])}
+            want = {(d, i): n for d, t in enumerate(texts) for i, item in enumerate(items) if len(item.split()) > dc.MIN_WORDS and (n := brute(t, item))}
+            assert {k: n for k, n in got.items() if len(items[k[1]].split()) > dc.MIN_WORDS} == want
+    monkeypatch.undo()
+    index = dc.build([(1, "same " * 200), (2, "same " * 30 + "other " * 30)])
+    began = time.perf_counter()
+    found = dc.matches(index, [of("same " * 100_000), of("same other " * 50_000)])
+    assert [(d, i, n) for d, i, _, _, n, _ in found] == [(0, 0, 200), (0, 1, 30)] and time.perf_counter() - began < 60
+
+
+def test_masks_find_every_length():
+    """Overlaps of 20 words with 4 differing are hit; so is every longer one, which holds such a stretch or fewer differing words."""
+    for n in (21, 22, 23, 24, 25):
+        placed = [sum(1 << (s + k) for k, c in enumerate(m) if c == "1") for m in dc.MASKS for s in range(n - len(m) + 1)]
+        for wrong in itertools.combinations(range(1, n - 1), n // 5):
+            bits = sum(1 << p for p in wrong)
+            assert any(not p & bits for p in placed), (n, wrong)
+
+
 def test_longest_agreement():
     for _ in range(200):
         e = RNG.random(RNG.integers(0, 25)) < 0.7
