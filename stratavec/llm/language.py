@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import mix, remainder, stored, texts
+from stratavec.llm.common import discard, mix, remainder, stored, texts
 
 SIZES = (2, 3, 4)  # n-gram lengths
 ROWS = 1 << 20
@@ -167,19 +167,32 @@ def fit(docs: DataFrame) -> Model:
     totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("t"))
     share = counts.join(F.broadcast(totals), ["lang", "n"]).withColumn("share", F.col("c") / F.col("t")).where(F.col("share") >= LEAST_SHARE)
     top = share.groupBy("h").agg(F.max("share").alias("top"))
-    kept = share.join(top, "h").where(F.col("share") >= LEAST_RATIO * F.col("top")).select("lang", "h").toPandas()
-    kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits or bits == 64)
-    tables = [np.zeros(ROWS, kind) for _ in range(-(-len(languages) // 64))]
-    chance = []
-    for k, lang in enumerate(languages):
-        h = kept.loc[kept["lang"] == lang, "h"].to_numpy().astype(np.int64).view(np.uint64)
-        bit, t = kind(1 << (k % 64)), tables[k // 64]
-        for r in rows_of(h):
-            np.bitwise_or.at(t, r, bit)
-        chance.append(min(0.999, float(((t & bit) != 0).mean()) ** PROBES))
+    kept = share.join(top, "h").where(F.col("share") >= LEAST_RATIO * F.col("top")).select("lang", "h")
+    tables = bit_tables(kept, languages)
+    discard(counts)
+    chance = [min(0.999, float(((tables[k // 64] >> tables[k // 64].dtype.type(k % 64)) & tables[k // 64].dtype.type(1)).mean()) ** PROBES) for k in range(len(languages))]
     return Model(languages, tables, np.array(chance), max(languages, key=lambda x: (sizes[x], x)))
 
 
+def bit_tables(kept: DataFrame, languages: list[str], rows: int = ROWS) -> list[np.ndarray]:
+    """The tables of bitmasks, one for each 64 languages, from n-grams' (lang, h).
+
+    Spark sets the bits of :func:`rows_of` and folds them by table row, so at most ``rows`` masks of a table come back.
+    """
+    numbers = kept.sparkSession.createDataFrame(list(zip(languages, range(len(languages)))), "lang string, k int")
+    low = lambda c: c.bitwiseAND(F.lit(rows - 1))
+    step = low(F.shiftrightunsigned("h", 40).bitwiseOR(F.lit(1)))
+    places = F.explode(F.array(*[low(low(F.col("h")) + n * step) for n in range(PROBES)])).alias("row")
+    bits = kept.join(F.broadcast(numbers), "lang").select((F.col("k") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, k % 64)").alias("bit"), places)
+    folded = bits.groupBy("word", "row").agg(F.bit_or("bit").alias("mask")).toPandas()
+    kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n or n == 64)
+    tables = [np.zeros(rows, kind) for _ in range(-(-len(languages) // 64))]
+    for word, t in enumerate(tables):
+        own = folded[folded["word"] == word]
+        t[own["row"].to_numpy(np.int64)] = own["mask"].to_numpy(np.int64).view(np.uint64).astype(kind)
+    return tables
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """The rows that may teach: crc32(doc_id as text) mod 3 is not 1."""
     return docs.where(remainder(3) != 1)
