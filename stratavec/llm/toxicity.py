@@ -8,6 +8,8 @@ its copy: which group is mentioned then moves the score little, so neutral menti
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import remainder, sampled, texts
+from stratavec.llm.common import discard, remainder, sampled, stored, texts
 
 FIT_DOCUMENTS = 30_000  # labelled documents that are learned from, about
 VOCABULARY = 4096  # words with a weight
@@ -48,9 +50,13 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
-def swapped(text: str | None, rng: np.random.Generator, copies: int = SWAPS) -> list[tuple[list[str], list[str]]]:
-    """Word lists of the sentences that hold identity terms, each with copies whose terms are others."""
+def swapped(text: str | None, copies: int = SWAPS) -> list[tuple[list[str], list[str]]]:
+    """Word lists of the sentences that hold identity terms, each with copies whose terms are others.
+
+    Chance depends on the text alone, so the pairs don't depend on how texts are dealt out.
+    """
     out, terms = [], set(IDENTITY)
+    rng = np.random.default_rng(zlib.crc32((text or "").encode("utf-8", "surrogatepass")))
     for sentence in _SENTENCE.findall(text.lower()) if text else ():
         ws = _WORD.findall(sentence)
         if not terms.isdisjoint(ws):
@@ -76,11 +82,15 @@ def _sum(weights: np.ndarray, bag: tuple[np.ndarray, np.ndarray], n: int) -> np.
     return np.bincount(bag[0], weights[bag[1]], n)
 
 
-def train(bags: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, penalty: float = PENALTY, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Weights and bias: logistic loss + ridge + penalty * mean squared score change of the pairs (Adam)."""
+def train(bags: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, penalty: float = PENALTY, steps: int = 600, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias: logistic loss + ridge + penalty * mean squared score change of the pairs (Adam).
+
+    times: how often each pair counts (once, if not given).
+    """
     flat = lambda lists: (np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.fromiter((w for x in lists for w in x), np.int64))
     own, (left, right) = flat(bags), (flat([p[k] for p in pairs]) for k in (0, 1))
-    n, m = len(bags), max(1, len(pairs))
+    n, often = len(bags), np.ones(len(pairs)) if times is None else times
+    m = max(1.0, often.sum())
     rate = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     theta = np.zeros(size + 1)
     theta[-1] = np.log(rate / (1 - rate))
@@ -88,7 +98,7 @@ def train(bags: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int]
     for step in range(1, steps + 1):
         w = theta[:-1]
         wrong = (1 / (1 + np.exp(-np.clip(_sum(w, own, n) + theta[-1], -30, 30))) - labels) / n
-        change = 2 * penalty / m * (_sum(w, left, len(pairs)) - _sum(w, right, len(pairs)))
+        change = 2 * penalty / m * often * (_sum(w, left, len(pairs)) - _sum(w, right, len(pairs)))
         g = np.bincount(own[1], wrong[own[0]], size) + 2 * RIDGE * w
         g = g + np.bincount(left[1], change[left[0]], size) - np.bincount(right[1], change[right[0]], size)
         g = np.append(g, wrong.sum())
@@ -129,19 +139,31 @@ def fit(rows: DataFrame) -> Model:
     vocabulary = {w: k for k, w in enumerate(dict.fromkeys([*IDENTITY, *(r["word"] for r in best.collect())]))}
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng, ids = np.random.default_rng(42), lambda ws: sorted({vocabulary[w] for w in ws if w in vocabulary})
+        ids = lambda ws: {vocabulary[w] for w in ws if w in vocabulary}
         for batch in batches:
-            own = [(ids(words(t)), int(y), [x for p in swapped(t, rng) for x in map(ids, p)]) for t, y in zip(batch["text"], batch["toxic"])]
-            yield pd.DataFrame(own, columns=["bag", "toxic", "pairs"])
-
-    got = rows.mapInPandas(bags, "bag array<int>, toxic int, pairs array<array<int>>").toPandas()  # the bounded sample's known words
-    pairs = [(list(p[k]), list(p[k + 1])) for p in got["pairs"] for k in range(0, len(p), 2)]
-    weights, bias = train([list(x) for x in got["bag"]], got["toxic"].to_numpy(float), pairs, len(vocabulary))
+            own, pairs = [], Counter()
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                own.append((sorted(ids(words(text))), int(toxic), None, None, None))
+                for left, right in (map(ids, p) for p in swapped(text)):
+                    # what both have cancels out of the change
+                    pairs[tuple(sorted(left - right)), tuple(sorted(right - left))] += 1
+            own += [(None, None, list(a), list(b), c) for (a, b), c in pairs.items() if a or b]
+            yield pd.DataFrame({k: pd.Series([x[j] for x in own], dtype=t) for j, (k, t) in enumerate((("bag", object), ("toxic", "Int64"), ("removed", object), ("added", object), ("times", "Int64")))})
+
+    made = stored(rows.mapInPandas(bags, "bag array<int>, toxic int, removed array<int>, added array<int>, times bigint"), "swaps")
+    got = made.where("toxic is not null").select("bag", "toxic").toPandas()  # the bounded sample's known words
+    pairs = made.where("toxic is null").groupBy("removed", "added").agg(F.sum("times").alias("times")).orderBy("removed", "added").toPandas()  # distinct swaps of listed terms
+    discard(made)
+    changes = [(list(a), list(b)) for a, b in zip(pairs["removed"], pairs["added"])]
+    weights, bias = train([list(x) for x in got["bag"]], got["toxic"].to_numpy(float), changes, len(vocabulary), times=pairs["times"].to_numpy(float))
     return Model(vocabulary, weights, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1, higher: toxic likelier) of each row; null and empty texts score as no words do."""
+    """doc_id and score (0 to 1, higher: toxic likelier) of each row; null and empty texts score as no words do.
+
+    Texts are scored whole, however long; rows one by one, repeated ones alike. Other columns take no part.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
