@@ -3,8 +3,9 @@
 Every task fills two filters over its lines' keys: seen, and seen again. Filters of all tasks are folded, by
 shards of the bit range: a bit that is set in two tasks' first filters is set in the second. Only keys whose
 bits are all in the folded second filter can be in two documents; only those are shuffled, as 128-bit hashes,
-to be counted exactly and to choose the document that keeps them. The filters have a fixed size, so what is
-broadcast has; beyond its capacity the filter lets more keys through to the exact count, and results stay.
+to be counted exactly and to choose the document that keeps them. The filters have 8 bits or more for each line, up to
+2^30 (what is broadcast is 128 MB then); beyond that they let more keys through to the exact count, and results stay.
+Where few documents lose lines, a filter of their ids keeps all other texts out of the last join.
 """
 
 from __future__ import annotations
@@ -12,18 +13,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import stored, texts
+from stratavec.llm.common import filter_place, id_filter, in_filter, stored, texts
 
-SHARD_BITS = 21  # bits of a shard as a power of two
-SHARDS = 64  # 64 x 2^21 bits: 16 MB
+SHARDS = 64
+LEAST_BITS, MOST_BITS = 14, 24  # bits of a shard as a power of two
+FEW = 0.25  # share of documents that lose lines, up to which the others' texts stay out of the join
+FILTERED = 1 << 26  # such documents that a broadcast filter can tell (16 bits each, so 128 MB)
 FLUSH = 1 << 21  # keys that a task holds before it hands out a part of its filters
 MIN_POINTS, MIN_DOCUMENTS = 20, 3
-_LOW = np.uint64((1 << SHARD_BITS) - 1)
 
 
 def key_of(line: bytes) -> bytes:
@@ -49,17 +52,23 @@ def _numbers(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shard_bits(docs: DataFrame) -> int:
+    """Power of two of a shard's bits, by the number of lines."""
+    lines = docs.agg(F.sum(F.size(F.split("text", "\n")).cast("bigint"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (8 * lines // SHARDS).bit_length()))
+
+
+def _bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The shard of each key, and its three bits there."""
-    a, b = h[:, 0], h[:, 1]
+    a, b, low = h[:, 0], h[:, 1], np.uint64((1 << size) - 1)
     shard = (a >> np.uint64(58)).astype(np.int64) % SHARDS
-    return shard, np.stack([a & _LOW, (a >> np.uint64(SHARD_BITS)) & _LOW, b & _LOW], 1).astype(np.int64)
+    return shard, np.stack([a & low, (a >> np.uint64(size)) & low, b & low], 1).astype(np.int64)
 
 
-def _filters(seen: list[np.ndarray]) -> Iterator[tuple[int, bytes, bytes]]:
+def _filters(seen: list[np.ndarray], size: int) -> Iterator[tuple[int, bytes, bytes]]:
     """Bit positions of both filters, by shard, from the keys of a task's documents."""
     keys, counts = np.unique(np.concatenate(seen), axis=0, return_counts=True)
-    shard, bits = _bits(keys)
+    shard, bits = _bits(keys, size)
     for s in np.unique(shard):
         own = shard == s
         yield int(s), *(np.unique(bits[own & (counts >= n)]).astype("<u4").tobytes() for n in (1, 2))
@@ -67,12 +76,13 @@ def _filters(seen: list[np.ndarray]) -> Iterator[tuple[int, bytes, bytes]]:
 
 def repeated_filter(docs: DataFrame, least: int = MIN_POINTS) -> np.ndarray:
     """The second filter over all documents, SHARDS rows of packed bits."""
+    size = shard_bits(docs)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = [], 0
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*_filters(seen)))
+            columns = list(zip(*_filters(seen, size)))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "once", "twice"])
 
         for batch in batches:
@@ -91,10 +101,10 @@ def repeated_filter(docs: DataFrame, least: int = MIN_POINTS) -> np.ndarray:
         once, twice = {}, {}
         for batch in batches:
             for s, one, two in zip(*(c.to_pylist() for c in batch.columns)):
-                new = np.zeros(1 << SHARD_BITS, bool)
+                new = np.zeros(1 << size, bool)
                 new[np.frombuffer(one, "<u4")] = True
                 new = np.packbits(new)
-                again = np.zeros(1 << SHARD_BITS, bool)
+                again = np.zeros(1 << size, bool)
                 again[np.frombuffer(two, "<u4")] = True
                 if s not in once:
                     once[s], twice[s] = np.zeros_like(new), np.zeros_like(new)
@@ -104,15 +114,15 @@ def repeated_filter(docs: DataFrame, least: int = MIN_POINTS) -> np.ndarray:
 
     parts = docs.where("doc_id is not null").mapInArrow(fill, "shard int, once binary, twice binary")
     folded = parts.repartition(SHARDS, "shard").mapInArrow(fold, "shard int, bits binary")
-    out = np.zeros((SHARDS, (1 << SHARD_BITS) // 8), np.uint8)
-    for r in folded.collect():  # SHARDS rows of fixed size
+    out = np.zeros((SHARDS, (1 << size) // 8), np.uint8)
+    for r in folded.collect():  # SHARDS rows of bounded size
         out[r["shard"]] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def suspected(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which keys have all their bits in the filter."""
-    shard, at = _bits(h)
+    shard, at = _bits(h, (8 * bits.shape[1]).bit_length() - 1)
     return ((bits[shard[:, None], at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
 
 
@@ -154,7 +164,18 @@ def line_dedup(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_DO
     own = texts(docs)
     rest = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("boolean")
     whole = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), rest.alias("rest"))
-    joined = whole.join(dropped_keys(own, least, documents), "doc_id", "left").select("doc_id", "text", "keys", "rest")
+    lost = stored(dropped_keys(own, least, documents), "line-lost")
+    n = lost.count()
+    affected, untouched = whole, None
+    if n <= min(FILTERED, FEW * own.count()):
+        bits = max(20, (16 * n).bit_length())
+        shared = docs.sparkSession.sparkContext.broadcast(id_filter(lost, bits))
+        told = F.pandas_udf(lambda h: pd.Series(in_filter(shared.value, h.to_numpy(np.int64))), "boolean")  # only ids go to Python
+        loses = F.col("doc_id").isNotNull() & told(F.coalesce(filter_place(bits), F.lit(0)))
+        affected = whole.where(loses)
+        lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint")
+        untouched = whole.where(~loses).select("doc_id", "text", lines.alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"), "rest")
+    joined = affected.join(lost, "doc_id", "left").select("doc_id", "text", "keys", "rest")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,4 +191,5 @@ def line_dedup(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_DO
                 kept.append(text if len(left) == len(lines) else b"\n".join(left).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), batch.column(3)], ["doc_id", "text", "n_lines", "n_dropped", "rest"])
 
-    return joined.mapInArrow(cut, f"doc_id bigint, text string, n_lines bigint, n_dropped bigint, rest {joined.schema['rest'].dataType.simpleString()}")
+    out = joined.mapInArrow(cut, f"doc_id bigint, text string, n_lines bigint, n_dropped bigint, rest {joined.schema['rest'].dataType.simpleString()}")
+    return out if untouched is None else out.union(untouched)

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from stratavec.llm import line_dedup as ld
 from stratavec.llm.common import texts
@@ -30,7 +31,10 @@ def result(df):
     return sorted(((r.doc_id, r.text or "", r.n_lines, r.n_dropped) for r in df.collect()), key=str)
 
 
-def test_brute(spark):
+@pytest.mark.parametrize("few", [0.0, 1.0])
+def test_brute(spark, monkeypatch, few):
+    """With all texts in the last join, and with those of documents that lose lines."""
+    monkeypatch.setattr(ld, "FEW", few)
     docs = spark.createDataFrame([(d, t, 1, "k") for d, t in ROWS], "doc_id bigint, text string, keys int, h1 string").repartition(4)
     assert result(ld.line_dedup(docs).drop("rest")) == brute(ROWS)
 
@@ -49,6 +53,20 @@ def test_filter_has_no_false_negatives(spark):
 
 def test_full_filter_keeps_results(spark, monkeypatch):
     """A filter that says yes to all only costs time."""
-    monkeypatch.setattr(ld, "repeated_filter", lambda docs, least: np.full((ld.SHARDS, (1 << ld.SHARD_BITS) // 8), 255, np.uint8))
+    monkeypatch.setattr(ld, "repeated_filter", lambda docs, least: np.full((ld.SHARDS, 1 << 11), 255, np.uint8))
     docs = spark.createDataFrame(ROWS, "doc_id bigint, text string")
     assert result(ld.line_dedup(docs).drop("rest")) == brute(ROWS)
+
+
+@pytest.mark.parametrize("size", [14, 17, 24])
+def test_filters_of_every_size(spark, monkeypatch, size):
+    monkeypatch.setattr(ld, "shard_bits", lambda docs: size)
+    rows = [(d, f"this shared line has number {d % 700}") for d in range(1000)]
+    bits = ld.repeated_filter(texts(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
+    keys = np.frombuffer(b"".join(ld.line_hashes([t.encode()], 20)[0] for _, t in rows), np.uint64).reshape(-1, 2)
+    assert bits.shape == (64, 1 << (size - 3)) and ld.suspected(bits, keys)[:300].all()
+
+
+def test_filter_grows_with_the_lines(spark):
+    sizes = [ld.shard_bits(texts(spark.range(1).selectExpr("id as doc_id", f"repeat('x\\n', {n}) as text"))) for n in (0, 10**4, 10**6, 10**7)]
+    assert sizes == [14, 14, 17, 21]
