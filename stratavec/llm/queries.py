@@ -52,7 +52,7 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents")
     out = identify(docs, fit(training_rows(docs)))
-    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "known")
+    return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "known")
 
 
 @query("op10_decontamination")
@@ -69,7 +69,7 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents")
     out = t.score(docs, t.fit(t.training_rows(docs, table(spark, d, "labels"))))
-    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= t.THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= t.THRESHOLD).cast("int").alias("predicted"))
 
 
 TOPK_SQL = """
@@ -119,7 +119,7 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model, v, counts = hmm.fit(docs.where(remainder(7) != 2))
     out = hmm.score(docs, model, v, counts)
-    return out.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("bigint").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 @query("pipeline")
