@@ -5,7 +5,11 @@ equal surrogates in every document and different ones different surrogates, with
 keep or to shuffle. The permutation is a Feistel network q taken as q^-1(q(x) + s): it has no fixed point.
 Values that a kind rules out (private address ranges, listed given names) are walked over, which keeps it a
 permutation of the rest. Names keep gender, script, capitals and their pattern of vowels and consonants; numbers
-keep separators, length and check digits.
+keep separators, length and check digits. Long values are permuted in blocks, each under a key of all before it.
+
+Names are found by what stands around them: a title or a listed given name, a phrase by which people introduce
+themselves or sign, an address in angle brackets after them; capitals in Latin, Cyrillic or Greek letters. What is
+found once in a text is replaced wherever it stands in it.
 """
 
 from __future__ import annotations
@@ -30,28 +34,40 @@ GIVEN = {
     ("m", "cyrillic"): "Александр Сергей Дмитрий Андрей Алексей Иван Михаил Николай Владимир Павел".split(),
 }
 TITLES = {"m": "Mr Herr Señor Sr Monsieur Sir".split(), "f": "Mrs Ms Miss Frau Señora Sra Señorita Madame Mme Mlle Lady".split(), "": "Dr Prof Doctor Professor".split()}
+# Phrases before a name, in English, German, French, Spanish and Russian.
+BEFORE = (
+    "my name is", "my name's", "signed by", "sincerely,", "regards,", "mein name ist", "ich heiße", "mit freundlichen grüßen", "je m'appelle", "je m’appelle", "mon nom est",
+    "cordialement,", "me llamo", "mi nombre es", "atentamente,", "меня зовут", "с уважением,", "full name:", "first name:", "last name:", "contact person:", "patient:", "nombre:", "vorname:", "nachname:",
+)
 ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "0123456789")
 _PLACE = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
 _KNOWN = {n.lower(): (gender, script) for (gender, script), names in GIVEN.items() for n in names}
 
-_CAP = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+(?:['’-][^\W\d_]+)*"
+_CAP = r"[^\W\d_a-zà-öø-ÿа-яёα-ωά-ώ][^\W\d_]+(?:['’-][^\W\d_]+)*"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 PATTERNS = {
-    "email": r"(?<![\w.+-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\w)",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ (.-])[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?[ .-]?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?!\w)",
     "card": r"(?<![\w.+-])[3-6][0-9]{3}[ -]?(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}|[0-9]{6}[ -]?[0-9]{5})(?![\w-])",
-    "person": rf"\b(?:(?:{_TITLE})\.? (?:{_CAP})(?: {_CAP})?|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}) {_CAP})",
+    "person": rf"\b(?:(?:{_TITLE})\.? (?:{_CAP})(?: (?!(?:{_TITLE})\b){_CAP})?|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}) {_CAP})",
+    # what is in front takes any capitals; the name itself is the group
+    "introduced": rf"\b(?i:{'|'.join(map(re.escape, BEFORE))})\s+(?P<name>{_CAP}(?:[ \t]{_CAP}){{0,2}})",
+    "addressed": rf"(?<!\w)(?P<name>{_CAP}(?:[ \t]{_CAP}){{1,2}})(?=[ \t]?<[\w.+%-]+@)",
 }
 _NUMERIC = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in ("ip", "ssn", "phone", "card")))
-_EMAIL, _IBAN, _PERSON = (re.compile(PATTERNS[k]) for k in ("email", "iban", "person"))
+_EMAIL, _IBAN, _PERSON, _INTRODUCED, _ADDRESSED = (re.compile(PATTERNS[k]) for k in ("email", "iban", "person", "introduced", "addressed"))
+_PHRASE = re.compile("|".join(sorted({re.escape(b.split()[-1].rstrip(":,")) for b in BEFORE})), re.IGNORECASE)
 #: Cheap scans of every text; the patterns above run only where one of these finds something.
 _NUMBER = re.compile(r"[+(]?[0-9][0-9 ().+-]{5,}[0-9]")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ]\w+")
 _CUES = {t for ts in TITLES.values() for t in ts} | {n for ns in GIVEN.values() for n in ns}
 _NAME = re.compile(_CAP)
+_TOKEN = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)")
+_PART = re.compile(r"[^\W\d_]+")
+LONG = 64  # characters of a value that are permuted together
 
 
 def luhn(digits: str) -> int:
@@ -67,7 +83,8 @@ class Surrogates:
         self.permuted = lru_cache(1 << 16)(self._permuted)
 
     def _random(self, bits: int, *parts) -> int:
-        h = hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), key=self.key[:64], digest_size=-(-bits // 8) or 1)
+        plain = repr([hex(p) if isinstance(p, int) else p for p in parts])  # decimal digits take time, and Python bounds them
+        h = hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), key=self.key[:64], digest_size=-(-bits // 8) or 1)
         return int.from_bytes(h.digest(), "little") & ((1 << bits) - 1)
 
     def _feistel(self, x: int, n: int, label: tuple, back: bool = False) -> int:
@@ -100,8 +117,23 @@ class Surrogates:
         return str(self.permuted(int(s), 10 ** len(s), ("digits", len(s), *label))).zfill(len(s)) if s else s
 
     def letters(self, s: str, kind: str, bad: Callable[[str], bool] = lambda s: False) -> str:
-        """Every character of a known alphabet becomes another of the same, others and capitals stay."""
+        """Every character of a known alphabet becomes another of the same, others and capitals stay.
+
+        Of more than LONG characters each block has a permutation of its own, keyed by the text before it (without
+        regard to capitals), so different values still have different surrogates.
+        """
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+        if len(s) <= LONG:
+            new = self._letters(low, (kind,), bad)
+        else:
+            before, parts = hashlib.blake2b(key=self.key[:64]), []
+            for k in range(0, len(s), LONG):
+                parts.append(self._letters(low[k : k + LONG], (kind, len(s), k, before.hexdigest())))
+                before.update(low[k : k + LONG].encode("utf-8", "surrogatepass"))
+            new = "".join(parts)
+        return "".join(c.upper() if o != o.lower() and len(c.upper()) == 1 else c for c, o in zip(new, s))
+
+    def _letters(self, low: str, label: tuple, bad: Callable[[str], bool] = lambda s: False) -> str:
         form = tuple(_PLACE[c][0] if c in _PLACE else c for c in low)
         n = x = None
         for c in low:
@@ -109,9 +141,9 @@ class Surrogates:
                 a, k = _PLACE[c]
                 n, x = (n or 1) * len(a), (x or 0) * len(a) + k
         if not n:
-            return s
+            return low
         while True:
-            x = self.permuted(x, n, (kind, form))
+            x = self.permuted(x, n, (*label, form))
             rest, out = x, []
             for a in reversed(form):
                 if a in ALPHABETS:
@@ -121,7 +153,7 @@ class Surrogates:
                     out.append(a)
             new = "".join(reversed(out))
             if not bad(new):
-                return "".join(c.upper() if o != o.lower() and len(c.upper()) == 1 else c for c, o in zip(new, s))
+                return new
 
     def name(self, s: str) -> str:
         known = _KNOWN.get(s.lower())
@@ -205,15 +237,57 @@ def _found(text: str) -> Iterator[tuple[int, int, str]]:
     if not _CUES.isdisjoint(_CAPITAL.findall(text)):
         for m in _PERSON.finditer(text):
             yield m.start(), m.end(), "person"
+    if _PHRASE.search(text):
+        for m in _INTRODUCED.finditer(text):
+            yield *m.span("name"), "person"
+    if "<" in text and "@" in text:
+        for m in _ADDRESSED.finditer(text):
+            yield *m.span("name"), "person"
+
+
+def _again(text: str, names: set[str]) -> Iterator[tuple[int, int]]:
+    """Places of the names as whole words, also as parts of words with hyphens or apostrophes; the longest first."""
+    most = max(len(_PART.findall(n)) for n in names)
+    for m in _TOKEN.finditer(text):
+        if m[0] in names:
+            yield m.span()
+            continue
+        parts = list(_PART.finditer(text, *m.span()))
+        k = 0
+        while len(parts) > 1 and k < len(parts):
+            spans = ((parts[k].start(), parts[e - 1].end(), e) for e in range(min(len(parts), k + most), k, -1))
+            a, b, k = next(((a, b, e) for a, b, e in spans if text[a:b] in names), (0, 0, k + 1))
+            if b:
+                yield a, b
+
+
+def _persons_joined(found: Iterator[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """The others as they come, then persons, overlapping ones as one."""
+    persons: list[tuple[int, int]] = []
+    for a, b, kind in found:
+        if kind == "person":
+            persons.append((a, b))
+        else:
+            yield a, b, kind
+    persons.sort()
+    start = end = 0
+    for a, b in persons:
+        if a >= end:
+            if end:
+                yield start, end, "person"
+            start = a
+        end = max(end, b)
+    if end:
+        yield start, end, "person"
 
 
 def entities(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order, the earlier kind of those above where two overlap.
 
-    Names found with a title or given name are found again by themselves.
+    Names found with what stands around them are found again by themselves.
     """
     out: list[tuple[int, int, str]] = []
-    for a, b, kind in _found(text) if text else ():
+    for a, b, kind in _persons_joined(_found(text)) if text else ():
         k = bisect_left(out, (a,))
         if (k == 0 or out[k - 1][1] <= a) and (k == len(out) or b <= out[k][0]):
             out.insert(k, (a, b, kind))
@@ -223,12 +297,11 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     names = {n for a, b, k in out if k == "person" for n in _NAME.findall(text[a:b]) if len(n) > 2 and n not in titles}
     if names:
         taken, spans = 0, sorted(out)
-        again = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")\b")
-        for m in again.finditer(text):
-            while taken < len(spans) and spans[taken][1] <= m.start():
+        for a, b in _again(text, names):
+            while taken < len(spans) and spans[taken][1] <= a:
                 taken += 1
-            if taken == len(spans) or m.end() <= spans[taken][0]:
-                out.append((m.start(), m.end(), "person"))
+            if taken == len(spans) or b <= spans[taken][0]:
+                out.append((a, b, "person"))
     return sorted(out)
 
 
@@ -249,7 +322,8 @@ def replaced(text: str | None, surrogates: Surrogates) -> tuple[str | None, list
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, and entities (start, length, kind, surrogate) of each row.
 
-    Null stays null, empty stays empty; rows are handled one by one (repeated rows alike), without a shuffle.
+    Null stays null, empty stays empty; rows are handled one by one (repeated rows alike), without a shuffle. Texts
+    are searched whole, in time proportional to their length; other columns, whatever their names, take no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
