@@ -55,14 +55,23 @@ def text_to_complex(s: Column) -> Column:
 
 
 def real_to_text(x: Column) -> Column:
-    """Up to 15 significant digits, fixed notation between 1e-4 and 1e15 (round 1e5 multiples as 1e+05): approximate."""
-    size = F.abs(x)
-    digits = F.regexp_replace(F.format_string("%.14e", x), r"\.?0+e", "e")
-    sci = F.regexp_replace(digits, r"e([+-])0*(\d{2,})$", r"e$1$2")
-    whole = F.when((x == F.floor(x)) & (size < 1e15), F.when((size > 0) & (F.pmod(x, F.lit(1e5)) == 0), sci).otherwise(x.try_cast("bigint").cast("string")))
-    decimal = F.round(x.try_cast("decimal(38,18)"), 15).cast("string")
-    fixed = F.when((size >= 1e-4) & (size < 1e15), F.regexp_replace(F.regexp_replace(decimal, r"0+$", ""), r"\.$", ""))
-    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "Inf").when(x == float("-inf"), "-Inf").otherwise(F.coalesce(whole, fixed, sci))
+    """The fewest of up to 15 significant digits that give the number to 15; in the shorter of plain and exponent notation.
+
+    At equal width the plain one; exponents have a sign and two digits at least.
+    """
+    shown = F.format_string("%.14e", F.abs(x))
+    digits = F.regexp_replace(F.replace(F.substring_index(shown, "e", 1), F.lit("."), F.lit("")), "0+$", "")
+    digits = F.when(digits == "", "0").otherwise(digits)
+    e, n = F.substring_index(shown, "e", -1).try_cast("int"), F.length(digits)
+    behind = F.greatest(n - e - 1, F.lit(0))
+    plain_width = F.greatest(e + 1, F.lit(1)) + F.when(behind > 0, behind + 1).otherwise(0)
+    exponent_width = F.when(n > 1, n + 1).otherwise(1) + F.when(F.abs(e) >= 100, 5).otherwise(4)
+    padded = F.rpad(digits, F.greatest(e + 1, n), "0")
+    large = F.concat(F.substring(padded, F.lit(1), e + 1), F.when(n > e + 1, F.concat(F.lit("."), F.substring(padded, e + 2, n))).otherwise(""))
+    plain = F.when(e >= 0, large).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+    exponent = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.when(F.abs(e) >= 100, 3).otherwise(2), "0"))
+    number = F.concat(F.when(x < 0, "-").otherwise(""), F.when(plain_width <= exponent_width, plain).otherwise(exponent))
+    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "Inf").when(x == float("-inf"), "-Inf").otherwise(number)
 
 
 def cast(source: str, target: str, a: Column) -> Column:

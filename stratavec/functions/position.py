@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row in partition below
@@ -31,6 +32,24 @@ def number_rows(df: DataFrame, name: str = "idx") -> DataFrame:
     return marked.withColumn(name, offset + F.col("__row").bitwiseAND((1 << _ROW_BITS) - 1) + 1).drop("__row")
 
 
-def renumber(df: DataFrame, by: str, name: str = "idx") -> DataFrame:
-    """Positions 1..n in the order of the unique column ``by``: a range sort, then :func:`number_rows`."""
-    return number_rows(df.orderBy(by), name)
+_BUCKET = 1 << 20  # most positions of a bucket
+
+
+def renumber(df: DataFrame, by: str, most: int, name: str = "idx") -> tuple[DataFrame, int]:
+    """Positions 1..n in the order of the unique column ``by``, whose values are in 1..most; and n.
+
+    Values fall into buckets by division, so no sampling is needed and a task that runs again gives the same: a
+    count for each bucket, then each row's place is its bucket's offset plus its rank there. df runs twice.
+    """
+    spark = df.sparkSession
+    width = max(1, -(-most // max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most // _BUCKET))))
+    marked = df.withColumn("__b", F.expr(f"(`{by}` - 1) div {width}"))
+    sizes = sorted((r["__b"], r["count"]) for r in marked.groupBy("__b").count().collect())  # one row a bucket
+    offsets, total = [], 0
+    for b, n in sizes:
+        offsets.append((b, total))
+        total += n
+    table = spark.createDataFrame(offsets, "__b bigint, __o bigint")
+    rank = F.row_number().over(W.partitionBy("__b").orderBy(by))
+    placed = marked.withColumn("__r", rank).join(F.broadcast(table), "__b")
+    return placed.withColumn(name, F.col("__o") + F.col("__r")).drop("__b", "__o", "__r"), total

@@ -45,6 +45,14 @@ def of_spark(kind: T.DataType) -> str:
     return "character"
 
 
+def common(x: str, y: str) -> str:
+    """The type that holds both: logical < integer < numeric < complex < character; raw only with itself."""
+    order = ("logical", "integer", "numeric", "complex", "character")
+    if x != y and "raw" in (x, y):
+        raise VectorTypeError(f"no common type of {x} and {y}")
+    return x if x == y else max(x, y, key=order.index)
+
+
 def _refuse(op: str, x: str, y: str | None):
     raise VectorTypeError(f"operation is not supported: {op} on {x}" + (f" and {y}" if y else ""))
 

@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from stratavec.functions import coerce, expr
 from stratavec.functions import types as V
 
-#: Operands of at most this many elements are broadcast when recycled; longer ones are joined by shuffle.
+#: Operands of at most this many elements of fixed width are broadcast when joined (24 bytes each, so 5 MB at most).
+#: Longer ones, and texts, whose size a count doesn't tell, are left to Spark, which knows their bytes when they are shuffled.
 BROADCAST_ELEMENTS = 200_000
+
+
+def small(df: DataFrame, elements: int, kind: str) -> DataFrame:
+    """df with a broadcast hint, if that many elements of the type are small for certain."""
+    return F.broadcast(df) if elements <= BROADCAST_ELEMENTS and kind != "character" else df
 SCALARS = {bool: "logical", int: "integer", float: "numeric", complex: "complex", str: "character"}
 
 
@@ -129,9 +135,15 @@ class Vector:
         from stratavec.operators import index
 
         if isinstance(subscript, tuple):
-            return index.cell(self, *subscript)
+            return (index.cell if all(isinstance(s, int) for s in subscript) else index.extract)(self, *subscript)
         return index.subset(self, subscript)
 
+    def is_in(self, members: "Vector") -> "Vector":
+        """Whether each element is among the members."""
+        from stratavec.operators import index
+
+        return index.is_in(self, members)
+
     # -- reductions -------------------------------------------------------------------------------
     def sum(self, na_rm: bool = False) -> DataFrame:
         """One row, column ``sum``: missing if any element is and na_rm is off; 0 for no elements."""
@@ -205,7 +217,7 @@ def align(*vectors: Vector) -> tuple[DataFrame, list[Column], int | None]:
         elif lengths[k] == longest:
             frame = frame.join(own.withColumnRenamed("__at", "idx"), "idx")
         else:
-            own = F.broadcast(own) if lengths[k] <= BROADCAST_ELEMENTS else own
+            own = small(own, lengths[k], v.kind)
             place = F.pmod(F.col("idx") - 1, F.lit(lengths[k])) + 1
             frame = frame.withColumn("__at", place).join(own, "__at").drop("__at")
     return frame, [F.col(f"v{k}") for k in range(len(vectors))], longest

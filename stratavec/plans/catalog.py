@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavec.operators import index
 from stratavec.operators import vector as vec
-from stratavec.operators.apply import apply, chunk
+from stratavec.operators.apply import apply, chunk, chunk_bounds
 from stratavec.operators.vector import Vector
 from stratavec.plans.session import scratch, table, vector
 from stratavec.sources import binary, csv, generate
@@ -176,10 +176,11 @@ def subset_mask(spark, d):
     return x[f].to_df()
 
 
-@query("subset_raw_na", f"SELECT row_number() OVER (ORDER BY k) AS idx, CASE WHEN k % 2 = 0 THEN 0 ELSE k % 256 END AS value FROM (SELECT idx AS k FROM {_ORDERS} WHERE idx <= 100)")
+@query("subset_raw_na", f"SELECT idx, CASE WHEN idx % 2 = 0 THEN 0 ELSE idx % 256 END AS value FROM {_ORDERS}")
 def subset_raw_na(spark, d):
     x = vector(spark, d, "orders", ((F.col("o_orderkey") + 1) % 256).cast("smallint"), "o_orderkey", "raw")
-    return x[[k if k % 2 else None for k in range(1, 101)]].to_df().withColumn("value", F.col("value").cast("int"))
+    at = vector(spark, d, "orders", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") + 1).cast("int"), "o_orderkey")
+    return x[at].to_df().withColumn("value", F.col("value").cast("int"))
 
 
 @query("assign_range", f"SELECT idx, CASE WHEN idx BETWEEN 11 AND 510 THEN -1.5 ELSE price END AS value FROM {_ORDERS}")
@@ -255,13 +256,13 @@ def bin_roundtrip_cplx(spark, d):
 
 
 def _matrix(spark, d):
-    """The first 128 x 64 prices as a file-backed, column-major matrix; sf0.001 has fewer: 128 x 8."""
+    """All prices as a file-backed, column-major matrix of 128 rows; what doesn't fill a column is left out."""
     v = _orders(spark, d, "price")
     binary.store(path := f"{scratch(spark, 'mat')}/m.bin", v)
-    return binary.read_matrix(spark, path, "numeric", 128, min(64, v.length // 128))
+    return binary.read_matrix(spark, path, "numeric", 128, v.length // 128)
 
 
-_COLS = "least(64, (SELECT count(*) FROM orders) // 128)"
+_COLS = "((SELECT count(*) FROM orders) // 128)"
 
 
 @query("mat_cell", f"SELECT CAST(1 AS BIGINT) AS idx, price AS value FROM {_ORDERS} WHERE idx = 4 * 128 + 17")
@@ -274,7 +275,7 @@ def mat_colsum(spark, d):
     return _matrix(spark, d).cells().groupBy("j").agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
 
 
-def _csv_file(spark, d, name: str, header: list[str], columns: list[F.Column]) -> str:
+def _csv_file(spark, d, name: str, header: list[str], columns: list[Column]) -> str:
     """A CSV file written on the driver, row by row."""
     path = f"{scratch(spark, 'csv')}/{name}.csv"
     rows = table(spark, d, "customer").orderBy("c_custkey").select(F.concat_ws(",", *columns).alias("line"))
@@ -365,7 +366,7 @@ def sum_na_rm(spark, d):
 @query("min_max", f"SELECT min(j) AS min, max(j) AS max FROM {_ORDERS}")
 def min_max(spark, d):
     v = _orders(spark, d, "j")
-    return v.frame.agg(F.min(v.value).alias("min"), F.max(v.value).alias("max"))
+    return v.min(na_rm=True).crossJoin(v.max(na_rm=True))  # one row each
 
 
 @query("delayed_sum", "SELECT round(sum(o_totalprice + 1), 2) AS sum FROM orders")
@@ -380,7 +381,211 @@ def difference(spark, d):
 
 @query("column_sums", "SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 10000) AS BIGINT)) AS BIGINT) AS total FROM lineitem GROUP BY l_returnflag")
 def column_sums(spark, d):
-    li = table(spark, d, "lineitem").withColumn("idx", F.lit(0).cast("bigint"))
+    # only expressions are made of these vectors: positions, which the table has none of, are never asked for
+    li = table(spark, d, "lineitem").withColumn("idx", F.monotonically_increasing_id() + 1)
     price, off = Vector(li, "l_extendedprice", "numeric"), Vector(li, "l_discount", "numeric")
     net = price * (1 - off)
     return li.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.round(net.value * 10000).cast("bigint")).alias("total"))
+
+
+# -- more sources: strict sequences, raw zeros, the CSV dialect -----------------------------------------
+@query("seq_strict", "SELECT CAST(r AS BIGINT) AS idx, CAST(5 + (r - 1) * 3 AS INTEGER) AS value FROM range(1, 3333) t(r)")
+def seq_strict(spark, d):
+    return generate.sequence(spark, 5, 10_000, 3, strict=True).to_df()
+
+
+def _refused(spark, cases: dict) -> DataFrame:
+    """Which cases raise an error, by name."""
+    rows = []
+    for name, case in cases.items():
+        try:
+            case()
+            rows.append((name, False))
+        except (ValueError, IndexError, TypeError):
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "name string, refused boolean")
+
+
+@query("seq_strict_errors", "SELECT * FROM (VALUES ('down', TRUE), ('equal', TRUE), ('by zero', TRUE), ('by negative', TRUE), ('up', FALSE)) t(name, refused)")
+def seq_strict_errors(spark, d):
+    make = lambda *a: lambda: generate.sequence(spark, *a, strict=True)
+    return _refused(spark, {"down": make(5, 1), "equal": make(5, 5), "by zero": make(1, 5, 0), "by negative": make(1, 5, -1), "up": make(1, 5)})
+
+
+@query("const_raw", "SELECT CAST(r AS BIGINT) AS idx, CAST(0 AS INTEGER) AS value FROM range(1, 1001) t(r)")
+def const_raw(spark, d):
+    return generate.constant(spark, "raw", 1000, True).to_df().withColumn("value", F.col("value").cast("int"))
+
+
+def _csv_lines(spark, d, name: str, lines: Column, end: str = "\n", head: str = "") -> str:
+    """A CSV file with a line of customer's for each row, written on the driver; end: after each."""
+    path = f"{scratch(spark, 'csv')}/{name}.csv"
+    rows = table(spark, d, "customer").orderBy("c_custkey").select(lines.alias("line"))
+    with open(path, "w", newline="") as f:
+        f.write(head)
+        for r in rows.toLocalIterator():
+            f.write(r["line"] + end)
+    return path
+
+
+def _csv_query(name: str, sql: str, lines, end: str = "\n", head: str = "a,b\n", **options):
+    def run(spark, d):
+        return csv.read(spark, _csv_lines(spark, d, name, lines(), end, head), **options).to_df()
+
+    query(name, sql)(run)
+
+
+_key, _text = lambda: F.col("c_custkey").cast("string"), lambda c: F.lit(c)
+_CUSTOMERS = "SELECT c_custkey + 1 AS idx, CAST(c_custkey AS INTEGER) AS a, {} AS b FROM customer"
+_csv_query("csv_blanks", _CUSTOMERS.format("CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '  ' || c_name || ' ' END"),
+           lambda: F.concat(F.lit(" \t"), _key(), F.lit(" \t, "), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" "), F.col("c_name"), F.lit("  "))).otherwise(F.concat(F.lit('  "  '), F.col("c_name"), F.lit(' "  ')))))
+_csv_query("csv_doubled_quotes", _CUSTOMERS.format("'\"' || c_name || '\"\"'"), lambda: F.concat(_key(), F.lit(',"""'), F.col("c_name"), F.lit('"""""')))
+_csv_query("csv_backslashes", _CUSTOMERS.format("c_name || chr(92) || '\"' || chr(92) || 'n' || chr(92)"), lambda: F.concat(_key(), F.lit(',"'), F.col("c_name"), F.lit('\\"\\n\\\\"')))
+_csv_query("csv_newline_in_quotes", _CUSTOMERS.format("c_name || chr(10) || 'x,y'"), lambda: F.concat(_key(), F.lit(',"'), F.col("c_name"), F.lit('\nx,y"')))
+_csv_query("csv_literal_quote", _CUSTOMERS.format("c_name || '\"x\"'"), lambda: F.concat(_key(), F.lit(","), F.col("c_name"), F.lit('"x"')))
+_csv_query("csv_crlf", _CUSTOMERS.format("c_name"), lambda: F.concat(_key(), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(","), F.col("c_name"))).otherwise(F.concat(F.lit(',"'), F.col("c_name"), F.lit('"')))), end="\r\n")
+_csv_query("csv_ragged", "SELECT c_custkey + 1 AS idx, CAST(c_custkey AS INTEGER) AS a, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS b, CASE WHEN c_custkey % 3 = 2 THEN CAST(c_nationkey AS INTEGER) END AS \"X\" FROM customer",
+           lambda: F.concat(_key(), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(","), F.col("c_name"))), F.when(F.col("c_custkey") % 3 == 2, F.concat(F.lit(","), F.col("c_nationkey").cast("string"))).otherwise("")))
+_csv_query("csv_blank_lines", "SELECT 2 * c_custkey + 1 + h AS idx, CASE WHEN h = 0 THEN CAST(c_custkey AS INTEGER) END AS a, CASE WHEN h = 0 THEN c_name ELSE '' END AS b FROM customer, (VALUES (0), (1)) t(h)",
+           lambda: F.concat(_key(), F.lit(","), F.col("c_name"), F.lit("\n")))
+_csv_query("csv_no_header", "SELECT c_custkey + 1 AS idx, CAST(c_custkey AS INTEGER) AS \"V1\", c_name AS \"V2\" FROM customer", lambda: F.concat(_key(), F.lit(","), F.col("c_name")), head="", header=False)
+
+
+@query("csv_header_only", "SELECT * FROM (VALUES ('a', 'logical', 0), ('b', 'logical', 0)) t(name, kind, n)")
+def csv_header_only(spark, d):
+    path = f"{scratch(spark, 'csv')}/h.csv"
+    with open(path, "w") as f:
+        f.write("a,b")
+    t = csv.read(spark, path)
+    return spark.createDataFrame([(n, k, len(t)) for n, k in t.kinds.items()], "name string, kind string, n int")
+
+
+@query("csv_errors", "SELECT * FROM (VALUES ('text after a quote', TRUE), ('open quote', TRUE), ('end after a quote', FALSE)) t(name, refused)")
+def csv_errors(spark, d):
+    cases = {"text after a quote": 'a\n"x"y\n', "open quote": 'a\n"x\n', "end after a quote": 'a\n"x"'}
+    return _refused(spark, {name: lambda text=text: list(csv.parse(text)) for name, text in cases.items()})
+
+
+# -- more subscripts -------------------------------------------------------------------------------------
+@query("sub_errors", "SELECT * FROM (VALUES ('mixed signs', TRUE), ('negative and missing', TRUE), ('complex', TRUE), ('negative and zero', FALSE)) t(name, refused)")
+def sub_errors(spark, d):
+    x, z = _orders(spark, d, "price"), generate.constant(spark, "complex", 1)
+    cases = {"mixed signs": [-1, 1], "negative and missing": [-1, None], "complex": z, "negative and zero": [-1, 0]}
+    return _refused(spark, {name: lambda s=s: index.subscript(x, s) for name, s in cases.items()})
+
+
+_sub("sub_no_names", "SELECT event_id + 1 AS k, CAST(NULL AS BIGINT) AS pos FROM events", lambda spark, d: vector(spark, d, "events", "event_type", "event_id"))
+
+
+@query("sub_lengths", f"SELECT * FROM (VALUES ('mask', (SELECT count(*) FILTER (f IS NULL OR f) FROM {_ORDERS})), ('recycled', (SELECT count(*) FILTER (idx % 3 <> 2) FROM {_ORDERS})), ('positive', (SELECT count(*) FILTER (user_id % 7 > 0) FROM events)), ('negative', (SELECT count(*) FROM {_ORDERS} WHERE idx NOT IN (SELECT user_id + 1 FROM events))), ('slice', CAST(100 AS BIGINT))) t(name, n)")
+def sub_lengths(spark, d):
+    x, f = _pair(spark, d, "price", "f")
+    events = lambda c: vector(spark, d, "events", c.cast("int"), "event_id")
+    cases = {"mask": f, "recycled": [True, False, True], "positive": events(F.col("user_id") % 7), "negative": events(-F.col("user_id") - 1), "slice": slice(11, 210, 2)}
+    return spark.createDataFrame([(name, index.subscript_length(x, s)) for name, s in cases.items()], "name string, n bigint")
+
+
+# -- arrays ----------------------------------------------------------------------------------------------
+@query("mat_rows", f"SELECT (idx - 1) // 128 * 3 + r.o AS idx, price AS value FROM {_ORDERS} JOIN (VALUES (1, 3), (2, 1), (3, 128)) r(o, i) ON (idx - 1) % 128 + 1 = r.i WHERE idx <= 128 * {_COLS}")
+def mat_rows(spark, d):
+    return _matrix(spark, d)[[3, 1, 128], :].to_df()
+
+
+@query("mat_block", f"SELECT (idx - 1) // 128 * 5 - 4 + ((idx - 1) % 128 - 9) // 2 AS idx, price AS value FROM {_ORDERS} WHERE (idx - 1) // 128 + 1 BETWEEN 2 AND 6 AND (idx - 1) % 128 + 1 IN (10, 12, 14, 16, 18)")
+def mat_block(spark, d):
+    return _matrix(spark, d)[10:18:2, 2:6].to_df()
+
+
+@query("array_extract", f"SELECT ((idx - 1) % 16) // 4 * 2 + (CASE (idx - 1) % 4 WHEN 1 THEN 1 ELSE 2 END) + ((idx - 1) // 16) * 8 AS idx, price AS value FROM {_ORDERS} WHERE (idx - 1) % 4 IN (1, 3) AND idx <= 16 * ((SELECT count(*) FROM orders) // 16)")
+def array_extract(spark, d):
+    v = _orders(spark, d, "price")
+    return v.reshape(4, 4, v.length // 16)[[2, 4], :, :].to_df()
+
+
+# -- more casts ------------------------------------------------------------------------------------------
+_ODD = "CASE o_orderkey % 6 WHEN 0 THEN o_totalprice WHEN 1 THEN floor(o_totalprice) * 100000.0 WHEN 2 THEN o_totalprice / 1e10 WHEN 3 THEN -floor(o_totalprice) WHEN 4 THEN o_totalprice * 1e15 ELSE 0.0 END"
+_SHOWN = """
+SELECT idx, CASE WHEN x < 0 THEN '-' ELSE '' END || CASE WHEN greatest(e + 1, 1) + CASE WHEN n > e + 1 THEN n - e ELSE 0 END <= CASE WHEN n > 1 THEN n + 1 ELSE 1 END + 4
+  THEN CASE WHEN e < 0 THEN '0.' || repeat('0', -e - 1) || m WHEN n > e + 1 THEN substr(m, 1, e + 1) || '.' || substr(m, e + 2) ELSE rpad(m, e + 1, '0') END
+  ELSE substr(m, 1, 1) || CASE WHEN n > 1 THEN '.' || substr(m, 2) ELSE '' END || CASE WHEN e < 0 THEN 'e-' ELSE 'e+' END || lpad(CAST(abs(e) AS VARCHAR), 2, '0') END AS value
+FROM (SELECT *, length(m) AS n FROM (SELECT idx, x, CASE WHEN x = 0 THEN '0' ELSE rtrim(replace(split_part(s, 'e', 1), '.', ''), '0') END AS m, CAST(split_part(s, 'e', 2) AS INTEGER) AS e
+  FROM (SELECT idx, x, printf('%.14e', abs(x)) AS s FROM ({}))))"""
+
+
+@query("cast_real_str", _SHOWN.format(f"SELECT o_orderkey + 1 AS idx, {_ODD} AS x FROM orders"))
+def cast_real_str(spark, d):
+    return vector(spark, d, "orders", F.expr(_ODD.replace("o_totalprice / 1e10", "o_totalprice / 1e10D").replace("1e15", "1e15D").replace("100000.0", "1e5D").replace("0.0", "0.0D")), "o_orderkey", "numeric").cast("character").to_df()
+
+
+@query("cast_cplx_str", "SELECT o_orderkey + 1 AS idx, CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '+1.5i' ELSE '-2i' END AS value FROM orders")
+def cast_cplx_str(spark, d):
+    z = F.struct(F.col("o_custkey").cast("double").alias("re"), F.when(F.col("o_orderkey") % 2 == 0, 1.5).otherwise(-2.0).alias("im"))
+    return vector(spark, d, "orders", z, "o_orderkey", "complex").cast("character").to_df()
+
+
+@query("cast_cplx_real", f"SELECT idx, price AS value FROM {_ORDERS}")
+def cast_cplx_real(spark, d):
+    price, i = _pair(spark, d, "price", "i")
+    return price.map(F.struct(price.value.alias("re"), i.value.cast("double").alias("im")), "complex").cast("numeric").to_df()
+
+
+_cast("cast_raw_raw", "raw", "raw", lambda: (F.col("o_orderkey") % 256).cast("smallint"), "o_orderkey % 256", "SMALLINT")
+
+
+@query("cast_refusals", "SELECT a || ' to ' || b AS name, a <> b AND (a = 'raw' AND b <> 'character' OR b = 'raw') AS refused FROM (VALUES ('logical'), ('integer'), ('numeric'), ('complex'), ('character'), ('raw')) s(a), (VALUES ('logical'), ('integer'), ('numeric'), ('complex'), ('character'), ('raw')) t(b)")
+def cast_refusals(spark, d):
+    kinds = ("logical", "integer", "numeric", "complex", "character", "raw")
+    one = {k: generate.constant(spark, k, 1) for k in kinds}
+    return _refused(spark, {f"{a} to {b}": lambda a=a, b=b: one[a].cast(b) for a in kinds for b in kinds})
+
+
+# -- lengths, loops, membership, chunks ------------------------------------------------------------------
+@query("length", "SELECT * FROM (VALUES ('orders', (SELECT count(*) FROM orders)), ('sequence', CAST(14 AS BIGINT)), ('every second order', (SELECT count(*) // 2 FROM orders))) t(name, n)")
+def length(spark, d):
+    x = _orders(spark, d, "price")
+    return spark.createDataFrame([("orders", len(x)), ("sequence", len(generate.sequence(spark, 1, 40, 3))), ("every second order", len(x[2::2]))], "name string, n bigint")
+
+
+@query("element_loop", f"SELECT CAST(sum(idx * (i + 501)) AS BIGINT) AS weighted, count(*) AS n FROM {_ORDERS}")
+def element_loop(spark, d):
+    total = n = 0
+    for k, v in enumerate(_orders(spark, d, "i"), 1):
+        total, n = total + k * (v + 501), n + 1
+    return spark.createDataFrame([(total, n)], "weighted bigint, n bigint")
+
+
+@query("is_vector", "SELECT * FROM (VALUES ('vector', TRUE), ('sum of vectors', TRUE), ('frame', FALSE), ('number', FALSE)) t(name, yes)")
+def is_vector(spark, d):
+    x = _orders(spark, d, "price")
+    return spark.createDataFrame([(n, vec.is_vector(v)) for n, v in (("vector", x), ("sum of vectors", x + x), ("frame", x.frame), ("number", 1.5))], "name string, yes boolean")
+
+
+@query("member", f"SELECT idx, s IN (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END FROM orders WHERE o_orderkey < 9 AND o_orderkey % 2 = 0) AS value FROM {_ORDERS}")
+def member(spark, d):
+    x = _orders(spark, d, "s")
+    return x.is_in(x[1:9:2]).to_df()
+
+
+@query("member_missing", f"SELECT idx, j IS NULL OR j IN (1, 2) AS value FROM {_ORDERS}")
+def member_missing(spark, d):
+    return _orders(spark, d, "j").is_in(index.from_values(spark, [1.0, None, 2.0])).to_df()
+
+
+@query("member_count", f"SELECT count(*) AS n FROM {_ORDERS} WHERE idx IN (SELECT user_id FROM events)")
+def member_count(spark, d):
+    x = vector(spark, d, "orders", (F.col("o_orderkey") + 1).cast("int"), "o_orderkey")
+    return index.count_members(x, vector(spark, d, "events", "user_id", "event_id"))
+
+
+@query("apply_chunks", f"SELECT idx, CAST(sum(i) OVER (PARTITION BY (idx - 1) // 1000 ORDER BY idx) AS BIGINT) AS value, s AS name FROM {_ORDERS}")
+def apply_chunks(spark, d):
+    i, s = _pair(spark, d, "i", "s")
+    out = apply(lambda x: x.cumsum(), i.set_names(s.value), chunk_size=1000)
+    return out.frame.select("idx", F.col("value").cast("bigint").alias("value"), "name")
+
+
+@query("chunk_bounds", "SELECT CAST(r AS INTEGER) AS number, (r - 1) * 700 + 1 AS first, least(r * 700, (SELECT count(*) FROM part)) AS last FROM range(1, CAST((SELECT ceil(count(*) / 700) FROM part) AS BIGINT) + 1) t(r)")
+def chunk_bounds_(spark, d):
+    x = vector(spark, d, "part", "p_retailprice", "p_partkey")
+    rows = [(k + 1, *chunk_bounds(x, k + 1, 700)) for k in range(-(-x.length // 700))]
+    return spark.createDataFrame(rows, "number int, first bigint, last bigint")

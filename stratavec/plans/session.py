@@ -31,8 +31,10 @@ def vector(spark: SparkSession, sf_dir: str, name: str, value, key: str, kind: s
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, else (local runs) the temp folder."""
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir, else (on one machine) the temp folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = base.removeprefix("file://") if base else tempfile.gettempdir()
     os.makedirs(base, exist_ok=True)
     return tempfile.mkdtemp(prefix=f"{name}-", dir=base)

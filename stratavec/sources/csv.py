@@ -3,8 +3,9 @@
 ``exact`` keeps this dialect: comma, newline, ``"`` quotes with doubled quotes; inside quotes a backslash
 before a backslash is one backslash and before any other character both stay; blanks around a field are
 skipped, inside quotes kept; a blank line is a row with an empty first cell; short rows are padded and long
-rows widen the table. It parses each file in one task. ``standard`` uses Spark's reader, which splits large
-files, and lacks the backslash rule, blank lines and widening.
+rows widen the table. It parses the file in one task, twice: for the width, names and types, and for the values.
+``standard`` uses Spark's reader, which splits large files, and lacks the backslash rule, blank lines and widening.
+Either reads one file; a folder of several is an error, since positions would depend on their order.
 
 Column types come from one aggregation over all cells: text > numeric > integer > logical > nothing.
 """
@@ -125,16 +126,22 @@ class Table:
         return Vector(self.frame, F.col(f"`{name}`"), self.kinds[name], self._length)
 
 
-def _finish(cells: DataFrame, columns: list[str], names: list[str]) -> Table:
-    kinds = typed(cells, columns)
+def _finish(cells: DataFrame, columns: list[str], names: list[str], kinds: dict[str, str]) -> Table:
     out = cells.select("idx", *[convert(F.col(c), kinds[c]).alias(n) for c, n in zip(columns, names)])
     return Table(out, {n: kinds[c] for c, n in zip(columns, names)})
 
 
+def _one_file(df: DataFrame, path: str) -> None:
+    if len(files := df.inputFiles()) > 1:
+        raise CsvError(f"{path} has {len(files)} files; read one")
+
+
 def read(spark: SparkSession, path: str, header: bool = True, check_names: bool = True, col_names: list[str] | None = None, dialect: str = "exact") -> Table:
     """The file as a table with row numbers in ``idx``."""
+    kinds = None
     if dialect == "standard":
         raw = spark.read.csv(path, header=False, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
+        _one_file(raw, path)
         raw = position.number_rows(raw)
         columns = [c for c in raw.columns if c != "idx"]
         first = raw.where("idx = 1").first() if header else None
@@ -142,6 +149,7 @@ def read(spark: SparkSession, path: str, header: bool = True, check_names: bool
         cells = raw.where("idx > 1").withColumn("idx", F.col("idx") - 1) if header else raw
     elif dialect == "exact":
         whole = spark.read.text(path, wholetext=True)
+        _one_file(whole, path)
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = 0
@@ -157,10 +165,16 @@ def read(spark: SparkSession, path: str, header: bool = True, check_names: bool
                     yield pd.DataFrame(block, columns=["at", "cells"])
 
         parsed = whole.mapInPandas(rows, "at bigint, cells array<string>")
-        width, first = parsed.agg(F.max(F.size("cells")), F.max(F.when(F.col("at") == 0, F.col("cells")))).first()
-        width = width or 0
-        columns = [f"c{k}" for k in range(width)]
-        given = [*(first or []), *[""] * (width - len(first or []))] if header else []
+        # one pass for width, names and types: a row for each column comes back
+        cell = parsed.select("at", F.posexplode("cells").alias("k", "cell"))
+        seen = F.col("at") > 0 if header else F.lit(True)
+        found = cell.groupBy("k").agg(F.max(F.when(seen, cell_class(F.col("cell")))).alias("class"), F.max(F.when(F.col("at") == 0, F.col("cell"))).alias("first")).collect()
+        by = {r["k"]: r for r in found}
+        columns = [f"c{k}" for k in range(len(by))]
+        kinds = {f"c{k}": CLASSES[by[k]["class"] or 0] for k in by}
+        kinds = {c: "logical" if k in ("empty", "na") else k for c, k in kinds.items()}
+        width = len(columns)
+        given = [by[k]["first"] or "" for k in range(width)] if header else []
         body = parsed.where("at > 0").withColumn("idx", F.col("at")) if header else parsed.withColumn("idx", F.col("at") + 1)
         cells = body.select("idx", *[F.coalesce(F.get(F.col("cells"), F.lit(k)), F.lit("")).alias(f"c{k}") for k in range(width)])
     else:
@@ -171,4 +185,4 @@ def read(spark: SparkSession, path: str, header: bool = True, check_names: bool
         names = make_names(names)
     elif len(set(names)) < len(names) or "" in names:
         raise CsvError("names are empty or repeated: use check_names")
-    return _finish(cells, columns, names)
+    return _finish(cells, columns, names, kinds or typed(cells, columns))
