@@ -36,8 +36,8 @@ PREFIXES = {"AKIA": "aws", "ASIA": "aws", "ghp_": "github", "gho_": "github", "x
 
 _KEYBLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
 _RUN = r"[A-Za-z0-9_+/=-]{16,}(?:\.[A-Za-z0-9_+/=-]{16,}){0,2}"
-# an assigned value goes on to its delimiter, however long it is; a key block is taken whole
-_SET = rf"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*[:=][ \t]*[\"']?(?P<value>{_KEYBLOCK}|[^\s\"',;<>]{{6,}})"
+# an assigned value goes on to its delimiter, however long it is; a key block is taken whole; names may lead the word
+_SET = rf"[A-Za-z0-9_-]{{0,64}}?(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*[:=][ \t]*[\"']?(?P<value>{_KEYBLOCK}|[^\s\"',;<>]{{6,}})"
 _CANDIDATE = re.compile(f"{_KEYBLOCK}|{_SET}|{_RUN}")
 _QUICK = re.compile(r"[0-9_+/=:]|-----BEGIN")
 _WORD = re.compile(r"[A-Za-z]{3,}")
@@ -234,7 +234,8 @@ def frequent_words(docs: DataFrame, one_in: int = FREQUENT) -> set[str]:
 def scan(docs: DataFrame, forest: Forest, dictionary: set[str]) -> DataFrame:
     """Every candidate of every text: doc_id, start, length (code points), kind, probability, is_secret.
 
-    Null and empty texts have none. Rows are handled one by one, repeated rows alike; no shuffle.
+    Null and empty texts have none. Texts are searched whole and candidates are judged whole, however long; rows are
+    handled one by one, repeated rows alike; no shuffle. Other columns, whatever their names, take no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast((forest, dictionary))
 
