@@ -180,6 +180,88 @@ def test_csv_shapes(spark, tmp_path):
     assert csv.make_names(["a b", "1", "", "a b", "ok", "_x"]) == ["a.b", "X1", "X", "a.b.1", "ok", "X_x"]
 
 
+def test_csv_files_are_split(spark, tmp_path):
+    """Rows of all kinds over many small parts, quoted cells across several of them: as parsed in one piece."""
+    rng = np.random.default_rng(0)
+    pieces = ['"a,b"', '"x\ny"', '"""', 'plain', ' pad ', '"\\"\n\\\\"', 'a"b', '""', '', '"q""q\n\n"', '  "lead"  ', '"' + "long\n" * 60 + '"']
+    cells = [p if p != '"""' else '""""' for p in pieces]
+    for trial in range(2):
+        text = "h1,h2,h3\n" + "".join(",".join(rng.choice(cells, int(rng.integers(1, 4)))) + "\n" for _ in range(60))
+        text = text[:-1] if trial % 2 else text
+        path = f"{tmp_path}/s{trial}.csv"
+        open(path, "w", newline="").write(text)
+        whole = list(csv.parse(text))
+        width = max(map(len, whole))
+        want = [[*r, *[""] * (width - len(r))] for r in whole[1:]]
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        try:
+            for size, batch in (("64", "3"), ("300", "10000"), ("1000000", "2")):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                spark.conf.set("spark.sql.files.openCostInBytes", "1")
+                spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+                t = csv.read(spark, path)
+                got = [list(r)[1:] for r in t.to_df().orderBy("idx").collect()]
+                assert [[x or "" for x in r] for r in got] == want and len(got) == len(t)
+                one = csv.read(spark, path, columns=["h3", "h1"])
+                assert one.names == ["h3", "h1"] and [[x or "" for x in r][1:] for r in one.to_df().orderBy("idx").collect()] == [[r[2], r[0]] for r in want]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before[1])
+
+
+def test_csv_refuses_what_it_cannot_order_or_end(spark, tmp_path):
+    for k in (1, 2):
+        open(f"{tmp_path}/{k}.csv", "w").write("a\n1\n")
+    open(f"{tmp_path}/1.csv", "a").write('"open\n')
+    for path, dialect in ((str(tmp_path), "exact"), (str(tmp_path), "standard"), (f"{tmp_path}/1.csv", "exact")):
+        with pytest.raises(csv.CsvError):
+            csv.read(spark, path, dialect=dialect)
+    with pytest.raises(csv.CsvError):
+        csv.read(spark, f"{tmp_path}/2.csv", columns=["b"])
+
+
+def test_extract(spark):
+    x = generate.sequence(spark, 1, 60).reshape(3, 4, 5)
+    a = np.arange(1, 61).reshape((3, 4, 5), order="F")
+    for at, own in (((slice(None), 2, [5, 1, 5]), ([0, 1, 2], [1], [4, 0, 4])), ((3, slice(2, 4, 2), None), ([2], [1, 3], range(5))), (([2], [1, 1], slice(5, 5)), ([1], [0, 0], [4])), (([], 1, 1), ([], [0], [0]))):
+        got, want = index.extract(x, *at), a[np.ix_(*map(list, map(np.array, own)))] if all(len(o) for o in own) else np.zeros((0, 1, 1))
+        assert got.dim == want.shape and got.collect() == want.ravel(order="F").tolist()
+    assert x[3, 4, 5].collect() == [60] and x[:, 1, 1].collect() == [1, 2, 3]
+    for bad in ((0, 1, 1), (1, 5, 1), (1, 1), (slice(0, 2), 1, [6])):
+        with pytest.raises(SubscriptError):
+            index.extract(x, *bad)
+
+
+@pytest.mark.parametrize("s", SUBSCRIPTS, ids=lambda s: str(s)[:30])
+def test_subscript_lengths(spark, s):
+    assert index.subscript_length(generate.sequence(spark, 1, N), s) == len(model(N, s))
+
+
+def test_members(spark):
+    x = from_values(spark, ["a", None, "b", "a"])
+    assert x.is_in(from_values(spark, ["a", "z"])).collect() == [True, False, False, True]
+    assert x.is_in(from_values(spark, [None], "character")).collect() == [False, True, False, False]
+    assert from_values(spark, [1, 2, None]).is_in(from_values(spark, ["2"])).collect() == [False, True, False]
+    assert index.count_members(from_values(spark, [1, 2, 2, 3]), from_values(spark, [2.0, 9.0])).first()[0] == 2
+    assert x.is_in(generate.constant(spark, "character", 0)).collect() == [False] * 4
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_apply_chunks_and_names(spark, size):
+    x = generate.sequence(spark, 1, 10).named_by(from_values(spark, list("abcdefghij")))
+    out = apply(lambda s: s.cumsum(), x, chunk_size=size)
+    assert out.kind == "integer" and out.collect() == [sum(range((k - 1) // size * size + 1, k + 1)) for k in range(1, 11)]
+    assert subset(out, ["c"]).collect() == out.collect()[2:3]
+    assert apply(lambda s: s, x, use_names=False).names is None and apply(lambda s: s, x, use_names=False, chunk_size=size).names is None
+    words = apply(lambda s: s.str.upper(), from_values(spark, ["p", "q"]), chunk_size=size)
+    assert words.kind == "character" and subset(words, ["q"]).collect() == ["Q"]
+    first_missing = from_values(spark, [None, 1, 2], "integer")
+    assert apply(lambda s: s.map(lambda v: None if v != v else f"v{v:.0f}"), first_missing).collect() == [None, "v1", "v2"]
+    with pytest.raises(ValueError):
+        apply(lambda s: s, x, chunk_size=0)
+
+
 def test_casts(spark):
     def cast(values, to, kind=None):
         return from_values(spark, values, kind).cast(to).collect()
