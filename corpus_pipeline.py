@@ -14,11 +14,14 @@ from stratavec.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bytes of an Arrow batch between Spark and Python: bounds both sides' memory where texts are long.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded(docs: DataFrame) -> DataFrame:
-    """The columns of documents; batches to Python are kept small from here on."""
+    """The columns of documents; batches to Python are kept small from here on.
+
+    The session keeps that setting: Spark reads it when a stage's result is computed, after the stage's function.
+    """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.select(*COLUMNS)
 

@@ -21,7 +21,6 @@ from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +34,7 @@ FALSE_PARTNER = 0.05  # cost of a false partner (its sketch is compared), in sig
 SKETCH = 1024  # least bits of a parity sketch; it has at least one for each shingle
 SMALL_BLOCK, BLOCK = 1024, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
 PARTNERS = 4  # pairs that a set proposes in the first round, in a block; each further round brings four times as many
-CHUNK = 1 << 19  # shingles handled at once
+CHUNK = 1 << 18  # shingles handled at once
 COMPARED = 4 << 20  # bytes of sketches compared at once
 FILTERED = 1 << 26  # documents in groups that a broadcast filter picks (16 bits each, so 128 MB); more are joined
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -174,13 +173,15 @@ def allocation(docs: DataFrame, bands: Bands, n: int, total: int) -> dict[int, i
             band = bands.of(np.maximum([len(x) for x in sets], 1))
             yield pa.RecordBatch.from_arrays([pa.array(band, pa.int64()), _lists(sets)], ["band", "shingles"])
 
-    def measure(group: pd.DataFrame) -> pd.DataFrame:
-        band = int(group["band"].iloc[0])
+    def measure(group: pa.Table) -> pa.Table:
+        band = group.column("band")[0].as_py()
         h = bands.differing(band)
-        sets = [np.asarray(x, np.int64).view(np.uint64) for x in group["shingles"] if len(x)]
+        lists = group.column("shingles").combine_chunks()
+        parts = np.split(np.asarray(lists.flatten()).view(np.uint64), np.cumsum(np.asarray(lists.value_lengths()))[:-1])
+        sets = [x for x in parts if len(x)]
         sets = list({(len(x), int(x.sum(dtype=np.uint64))): x for x in sets}.values())
         if not h or len(sets) < 8:
-            return pd.DataFrame({"band": [band], "twos": [0]})
+            return pa.table({"band": [band], "twos": [0]})
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         sketch = sketches(sets)
         best = (np.inf, 0)
@@ -193,10 +194,10 @@ def allocation(docs: DataFrame, bands: Bands, n: int, total: int) -> dict[int, i
             false = (distances([sketch[k] for k in a], [sketch[k] for k in b]) > h).sum()
             cost = (len(sigs) + FALSE_PARTNER * 2 * false * max(1.0, total / SAMPLE)) / len(sets)
             best = min(best, (cost, twos))
-        return pd.DataFrame({"band": [band], "twos": [best[1]]})
+        return pa.table({"band": [band], "twos": [best[1]]})
 
     rows = sampled(docs, SAMPLE, total).mapInArrow(sizes, "band bigint, shingles array<bigint>")
-    return {r["band"]: r["twos"] for r in rows.groupBy("band").applyInPandas(measure, "band bigint, twos bigint").collect()}
+    return {r["band"]: r["twos"] for r in rows.groupBy("band").applyInArrow(measure, "band bigint, twos bigint").collect()}
 
 
 def _set_hashes(sets: list[np.ndarray]) -> np.ndarray:

@@ -14,7 +14,6 @@ from functools import lru_cache, reduce
 from operator import or_
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,10 +145,12 @@ def fit(docs: DataFrame) -> Model:
     share = [(F.col("lang") == x) & (F.pmod(F.xxhash64("doc_id", F.lit(977)), F.lit(1 << 20)) < int((1 << 20) * min(1, FIT_DOCUMENTS / n))) for x, n in sizes.items()]
     chosen = own.where(reduce(or_, share))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, group in batch.groupby("lang"):
-                held = group["text"].tolist()
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                by.setdefault(lang, []).append(text)
+            for lang, held in by.items():
                 while held:
                     k, chars = 0, 0
                     while k < len(held) and (not k or chars + len(held[k]) <= CHUNK_CHARS):
@@ -160,9 +161,9 @@ def fit(docs: DataFrame) -> Model:
                     for n in SIZES:
                         h, real = ngrams(stream, n)
                         grams, counts = np.unique(h[real], return_counts=True)
-                        yield pd.DataFrame({"lang": lang, "h": grams.view(np.int64), "n": n, "c": counts})
+                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(grams)), pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), n, np.int32)), pa.array(counts)], ["lang", "h", "n", "c"])
 
-    counts = chosen.select("lang", "text").mapInPandas(count, "lang string, h bigint, n int, c bigint").groupBy("lang", "h", "n").agg(F.sum("c").alias("c"))
+    counts = chosen.select("lang", "text").mapInArrow(count, "lang string, h bigint, n int, c bigint").groupBy("lang", "h", "n").agg(F.sum("c").alias("c"))
     counts = stored(counts, "ngrams")
     totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("t"))
     share = counts.join(F.broadcast(totals), ["lang", "n"]).withColumn("share", F.col("c") / F.col("t")).where(F.col("share") >= LEAST_SHARE)

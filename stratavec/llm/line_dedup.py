@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -170,7 +169,11 @@ def line_dedup(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_DO
     if n <= min(FILTERED, FEW * own.count()):
         bits = max(20, (16 * n).bit_length())
         shared = docs.sparkSession.sparkContext.broadcast(id_filter(lost, bits))
-        told = F.pandas_udf(lambda h: pd.Series(in_filter(shared.value, h.to_numpy(np.int64))), "boolean")  # only ids go to Python
+
+        @F.arrow_udf("boolean")
+        def told(h: pa.Array) -> pa.Array:  # only ids go to Python
+            return pa.array(in_filter(shared.value, np.asarray(h)))
+
         loses = F.col("doc_id").isNotNull() & told(F.coalesce(filter_place(bits), F.lit(0)))
         affected = whole.where(loses)
         lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint")
