@@ -34,6 +34,7 @@ GAIN = 0.002  # passes over all training documents go on until the log-likelihoo
 START_PASSES = 20  # passes of starting_point over sequences held at once; fit doesn't use it
 LEAN = 0.25  # shape of the gamma weights by which states prefer words at first: the smaller, the further apart
 PRIOR = 2_000.0  # tokens' worth of the corpus's own class frequencies that each state has seen
+SCALED = 8  # steps between scalings: probabilities of so many tokens together stay far from underflow
 BATCH = 1 << 18  # tokens of one recursion (or one document)
 HELD = 1 << 21  # tokens of documents whose lengths are sorted together (or one document)
 BLOCK = 16 << 20  # bytes of texts that are split and scored together (or one document)
@@ -125,58 +126,59 @@ class Model:
         return len(self.start)
 
 
-def by_time(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sequences of falling length, laid end to end: each token's place when laid out by time, and the sizes and starts of the times."""
-    alive = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
-    starts = np.concatenate([[0], np.cumsum(alive)])
-    rank = np.repeat(np.arange(len(lengths)), lengths)
-    t = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return starts[t] + rank, alive, starts
-
-
 def forward(model: Model, ids: list[np.ndarray], backward: bool = False):
     """Natural log-likelihood of each sequence (none empty); with backward also the expected counts.
 
-    At every time the states' joint probabilities are scaled to sum 1; the logs of the scales add up to the
-    likelihood. Counts: of starts, of moves between states, and of classes by state.
+    Sequences are laid out by time, so that all take a step at once. Every SCALED steps the states' joint
+    probabilities are scaled to sum 1; the logs of the scales and of the last sum add up to the likelihood. Counts:
+    of starts, of moves between states, and of classes by state; each token's are scaled by themselves.
     """
     lengths = np.array([len(x) for x in ids])
     order = np.argsort(-lengths, kind="stable")
-    place, alive, starts = by_time(lengths[order])
-    flat = np.empty(lengths.sum(), np.int64)
-    flat[place] = np.concatenate([ids[i] for i in order])
-    emit = model.emit[flat]
-    alpha = np.empty_like(emit) if backward else None
-    scale = np.empty(len(flat))
-    now = None
-    for t in range(len(alive)):
-        a, b = starts[t], starts[t + 1]
-        now = emit[a:b] * (model.start if t == 0 else now[: b - a] @ model.trans)
-        total = now.sum(1)
-        now /= total[:, None]
-        scale[a:b] = total
-        if backward:
-            alpha[a:b] = now
-    rank = np.arange(len(flat)) - np.repeat(starts[:-1], alive)
+    sizes = lengths[order]
+    alive = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # sequences that have a token at each time
+    starts = np.concatenate([[0], np.cumsum(alive)])
+    edges, ones = starts.tolist(), np.ones(model.states)
+    flat = np.empty(edges[-1], np.int32)
+    for rank, i in enumerate(order.tolist()):
+        flat[starts[: len(ids[i])] + rank] = ids[i]
+    emit = model.emit.take(flat, axis=0)
+    alpha, trans, logs = np.empty_like(emit), np.ascontiguousarray(model.trans), np.zeros(len(ids))
+    np.multiply(emit[: edges[1]], model.start, out=alpha[: edges[1]])
+    for t in range(1, len(alive)):
+        a, b = edges[t], edges[t + 1]
+        now = alpha[a:b]
+        np.matmul(alpha[edges[t - 1] : edges[t - 1] + b - a], trans, out=now)
+        now *= emit[a:b]
+        if not t % SCALED:
+            total = now @ ones
+            now /= total[:, None]
+            logs[: b - a] += np.log(total)
+    logs += np.log(alpha[starts[sizes - 1] + np.arange(len(ids))] @ ones)
     out = np.empty(len(ids))
-    out[order] = np.bincount(rank, np.log(scale), len(ids))
+    out[order] = logs
     if not backward:
         return out, None
-    # beta is 1 at every sequence's end; here times the emission and over the scale, as the recursion needs it
-    weighted = np.empty_like(emit)
-    beta = np.ones_like(emit)
-    for t in range(len(alive) - 1, -1, -1):
-        a, b = starts[t], starts[t + 1]
-        if t + 1 < len(alive):
-            c = starts[t + 2]
-            beta[a : a + c - b] = weighted[b:c] @ model.trans.T
-        weighted[a:b] = emit[a:b] * beta[a:b] / scale[a:b, None]
-    gamma = alpha * beta
-    later = np.flatnonzero(np.arange(len(flat)) >= alive[0])
-    earlier = later - np.repeat(alive[:-1], alive[1:])
-    moves = model.trans * (alpha[earlier].T @ weighted[later])
-    classes = np.stack([np.bincount(flat, gamma[:, k], len(model.emit)) for k in range(model.states)], 1)
-    return out, (gamma[: alive[0]].sum(0), moves, classes)
+    # beta is 1 at every sequence's end; emit becomes emission times beta, shrunk holds the scales of beta
+    beta, shrunk, back = np.ones_like(emit), np.ones(len(flat)), np.ascontiguousarray(model.trans.T)
+    for t in range(len(alive) - 2, -1, -1):
+        a, b, c = edges[t], edges[t + 1], edges[t + 2]
+        weighted, now = emit[b:c], beta[a : a + c - b]
+        weighted *= beta[b:c]
+        np.matmul(weighted, back, out=now)
+        if not t % SCALED:
+            total = now @ ones
+            now /= total[:, None]
+            shrunk[a : a + c - b] = total
+    beta *= alpha
+    inverse = 1 / (beta @ ones)
+    beta *= inverse[:, None]
+    alpha *= (inverse / shrunk)[:, None]
+    earlier = np.arange(edges[1], len(flat)) - np.repeat(alive[:-1], alive[1:])
+    moves = model.trans * (alpha.take(earlier, axis=0).T @ emit[edges[1] :])
+    cells = (flat.astype(np.int64) * model.states)[:, None] + np.arange(model.states)
+    classes = np.bincount(cells.ravel(), beta.ravel(), model.emit.size).reshape(model.emit.shape)
+    return out, (beta[: edges[1]].sum(0), moves, classes)
 
 
 def maximised(start: np.ndarray, moves: np.ndarray, classes: np.ndarray, v: Vocabulary) -> Model:

@@ -42,6 +42,27 @@ def test_forward_backward():
         assert np.allclose(got, sum(w[k] for w in want))
 
 
+def test_scaling_changes_nothing(monkeypatch):
+    """Long and short sequences, scaled at every step and every few, against a recursion of one sequence at a time."""
+    m = model(4, 30)
+    xs = [RNG.integers(0, 30, n) for n in (500, 1, 8, 9, 33, 500, 17, 2)]
+    results = []
+    for every in (1, 3, hmm.SCALED):
+        monkeypatch.setattr(hmm, "SCALED", every)
+        results.append(hmm.forward(m, xs, True))
+        assert np.allclose(hmm.forward(m, xs)[0], results[-1][0])
+    for likely, counts in results:
+        for x, got in zip(xs, likely):
+            now, total = m.start, 0.0
+            for j, c in enumerate(x):
+                now = m.emit[c] * (now if j == 0 else now @ m.trans)
+                total += math.log(now.sum())
+                now = now / now.sum()
+            assert np.isclose(got, total)
+        assert all(np.allclose(a, b) for a, b in zip(counts, results[0][1]))
+        assert np.isclose(counts[1].sum(), sum(len(x) - 1 for x in xs)) and np.isclose(counts[2].sum(), sum(map(len, xs)))
+
+
 def test_passes_raise_the_likelihood():
     v = hmm.Vocabulary(pa.array([], pa.string()), 0, 0, np.ones(5), np.zeros(5), np.zeros(5))
     hmm_prior, hmm.PRIOR = hmm.PRIOR, 1e-6
