@@ -35,6 +35,7 @@ SKETCH = 1024  # least bits of a parity sketch; it has at least one for each shi
 SMALL_BLOCK, BLOCK = 1024, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
 PARTNERS = 4  # pairs that a set proposes in the first round, in a block; each further round brings four times as many
 CHUNK = 1 << 18  # shingles handled at once
+HANDED = 1 << 16  # signatures that are handed to Spark at once
 COMPARED = 4 << 20  # bytes of sketches compared at once
 FILTERED = 1 << 26  # documents in groups that a broadcast filter picks (16 bits each, so 128 MB); more are joined
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -226,13 +227,15 @@ def groups_of(docs: DataFrame, bands: Bands, plan: dict[int, int], n: int) -> Da
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, sigs, held, seen = [], [], 0, set()
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             d, s = np.concatenate(docs), np.concatenate(sigs).view(np.int64)
             order = np.lexsort((d, s))
             d, s = d[order], s[order]
             start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             members = pa.ListArray.from_arrays(pa.array(np.append(start, len(s)).astype(np.int32)), pa.array(d))
-            return pa.RecordBatch.from_arrays([pa.array(s[start]), members], ["sig", "docs"])
+            whole = pa.RecordBatch.from_arrays([pa.array(s[start]), members], ["sig", "docs"])
+            for k in range(0, whole.num_rows, HANDED):
+                yield whole.slice(k, HANDED)
 
         for ids, sets in _chunks(batches, n):
             keys = [h.tobytes() for h in _set_hashes(sets)]
@@ -244,10 +247,10 @@ def groups_of(docs: DataFrame, bands: Bands, plan: dict[int, int], n: int) -> Da
             sigs += own
             held += len(docs[-1])
             if held >= 4 * CHUNK:
-                yield out()
+                yield from out()
                 docs, sigs, held = [], [], 0
         if held:
-            yield out()
+            yield from out()
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by signature and smallest document: the first of each signature has the pivot."""
