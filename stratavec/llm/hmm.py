@@ -35,7 +35,7 @@ START_PASSES = 20  # passes of starting_point over sequences held at once; fit d
 LEAN = 0.25  # shape of the gamma weights by which states prefer words at first: the smaller, the further apart
 PRIOR = 2_000.0  # tokens' worth of the corpus's own class frequencies that each state has seen
 SCALED = 8  # steps between scalings: probabilities of so many tokens together stay far from underflow
-BATCH = 1 << 18  # tokens of one recursion (or one document)
+BATCH = 1 << 19  # tokens of one recursion (or one document)
 HELD = 1 << 21  # tokens of documents whose lengths are sorted together (or one document)
 BLOCK = 16 << 20  # bytes of texts that are split and scored together (or one document)
 
@@ -129,21 +129,24 @@ class Model:
 def forward(model: Model, ids: list[np.ndarray], backward: bool = False):
     """Natural log-likelihood of each sequence (none empty); with backward also the expected counts.
 
-    Sequences are laid out by time, so that all take a step at once. Every SCALED steps the states' joint
-    probabilities are scaled to sum 1; the logs of the scales and of the last sum add up to the likelihood. Counts:
-    of starts, of moves between states, and of classes by state; each token's are scaled by themselves.
+    Sequences are laid out by time, so that all take a step at once. Each class's emissions are taken relative to its
+    largest, and every SCALED steps the states' joint probabilities are scaled to sum 1; the logs of the largest ones,
+    of the scales and of the last sum add up to the likelihood. Counts: of starts, of moves between states, and of
+    classes by state; each token's are scaled by themselves. The model's number type is used.
     """
     lengths = np.array([len(x) for x in ids])
     order = np.argsort(-lengths, kind="stable")
     sizes = lengths[order]
     alive = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # sequences that have a token at each time
     starts = np.concatenate([[0], np.cumsum(alive)])
-    edges, ones = starts.tolist(), np.ones(model.states)
+    edges, ones = starts.tolist(), np.ones(model.states, model.emit.dtype)
+    top = model.emit.max(1)
+    log_top = np.log(top.astype(float))
     flat = np.empty(edges[-1], np.int32)
     for rank, i in enumerate(order.tolist()):
         flat[starts[: len(ids[i])] + rank] = ids[i]
-    emit = model.emit.take(flat, axis=0)
-    alpha, trans, logs = np.empty_like(emit), np.ascontiguousarray(model.trans), np.zeros(len(ids))
+    emit = (model.emit / top[:, None]).take(flat, axis=0)
+    alpha, trans, logs = np.empty_like(emit), np.ascontiguousarray(model.trans), np.array([log_top[ids[i]].sum() for i in order])
     np.multiply(emit[: edges[1]], model.start, out=alpha[: edges[1]])
     for t in range(1, len(alive)):
         a, b = edges[t], edges[t + 1]
@@ -160,7 +163,7 @@ def forward(model: Model, ids: list[np.ndarray], backward: bool = False):
     if not backward:
         return out, None
     # beta is 1 at every sequence's end; emit becomes emission times beta, shrunk holds the scales of beta
-    beta, shrunk, back = np.ones_like(emit), np.ones(len(flat)), np.ascontiguousarray(model.trans.T)
+    beta, shrunk, back = np.ones_like(emit), np.ones(len(flat), emit.dtype), np.ascontiguousarray(model.trans.T)
     for t in range(len(alive) - 2, -1, -1):
         a, b, c = edges[t], edges[t + 1], edges[t + 2]
         weighted, now = emit[b:c], beta[a : a + c - b]
@@ -178,7 +181,7 @@ def forward(model: Model, ids: list[np.ndarray], backward: bool = False):
     moves = model.trans * (alpha.take(earlier, axis=0).T @ emit[edges[1] :])
     cells = (flat.astype(np.int64) * model.states)[:, None] + np.arange(model.states)
     classes = np.bincount(cells.ravel(), beta.ravel(), model.emit.size).reshape(model.emit.shape)
-    return out, (beta[: edges[1]].sum(0), moves, classes)
+    return out, (beta[: edges[1]].sum(0, dtype=float), moves.astype(float), classes)
 
 
 def maximised(start: np.ndarray, moves: np.ndarray, classes: np.ndarray, v: Vocabulary) -> Model:
@@ -243,10 +246,10 @@ def numbered(train: DataFrame, v: Vocabulary) -> DataFrame:
 def one_pass(sequences: DataFrame, model: Model, v: Vocabulary) -> tuple[Model, float]:
     """One pass over all of :func:`numbered`: expected counts of all tasks, summed by class, then maximised.
 
-    Also the log-likelihood of the model that came in.
+    Also the log-likelihood of the model that came in. The recursion's numbers have 32 bits here, sums have 64.
     """
     spark, k = sequences.sparkSession, model.states
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(Model(*(x.astype(np.float32) for x in (model.start, model.trans, model.emit))))
     names = [f"s{i}" for i in range(k)]
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
