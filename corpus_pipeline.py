@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavec.llm import decontamination, jaccard_join, language, line_dedup, packing
-from stratavec.llm.common import stored, table
+from stratavec.llm.common import discard, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bytes of an Arrow batch between Spark and Python: bounds both sides' memory where texts are long.
@@ -66,7 +66,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -115,7 +115,7 @@ def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 1 << 18):
+    def __init__(self, most: int = 1 << 15):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

@@ -30,7 +30,7 @@ MIN_WORDS = 20  # words of an overlap, or all of a shorter item
 MIN_ITEM = 8  # items of fewer words identify nothing
 AGREEMENT = 0.8
 BLOCK_WORDS = 4_000_000  # benchmark words that are broadcast at once
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 16
 JOINED = 1 << 21  # pairs of windows that are held at once (or those of one document window)
 CELLS = 1 << 22  # words of diagonals that are compared at once
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")

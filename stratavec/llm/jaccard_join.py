@@ -34,7 +34,7 @@ FALSE_PARTNER = 0.05  # cost of a false partner (its sketch is compared), in sig
 SKETCH = 1024  # least bits of a parity sketch; it has at least one for each shingle
 SMALL_BLOCK, BLOCK = 1024, 4096  # sets of a group that one task compares with as many others: a 32nd of it, within these
 PARTNERS = 4  # pairs that a set proposes in the first round, in a block; each further round brings four times as many
-CHUNK = 1 << 18  # shingles handled at once
+CHUNK = 1 << 17  # shingles handled at once
 HANDED = 1 << 16  # signatures that are handed to Spark at once
 COMPARED = 4 << 20  # bytes of sketches compared at once
 FILTERED = 1 << 26  # documents in groups that a broadcast filter picks (16 bits each, so 128 MB); more are joined
@@ -240,13 +240,13 @@ def groups_of(docs: DataFrame, bands: Bands, plan: dict[int, int], n: int) -> Da
         for ids, sets in _chunks(batches, n):
             keys = [h.tobytes() for h in _set_hashes(sets)]
             fresh = [k for k, key in enumerate(keys) if len(sets[k]) and not (key in seen or seen.add(key))]
-            if len(seen) > CHUNK:
+            if len(seen) > 2 * CHUNK:
                 seen.clear()
             own = all_signatures([sets[k] for k in fresh], bands, plan)
             docs.append(np.repeat(np.array([ids[k] for k in fresh], np.int64), [len(x) for x in own]))
             sigs += own
             held += len(docs[-1])
-            if held >= 4 * CHUNK:
+            if held >= 8 * CHUNK:
                 yield from out()
                 docs, sigs, held = [], [], 0
         if held:

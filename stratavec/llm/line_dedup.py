@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import filter_place, id_filter, in_filter, stored, texts
+from stratavec.llm.common import discard, filter_place, id_filter, in_filter, stored, texts
 
 SHARDS = 64
 LEAST_BITS, MOST_BITS = 14, 24  # bits of a shard as a power of two
@@ -126,7 +126,7 @@ def suspected(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def dropped_keys(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """The keys that each document loses: doc_id and a list of 128-bit hashes, for documents that lose any."""
+    """The keys that each document loses, stored: doc_id and a list of 128-bit hashes, for documents that lose any."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(repeated_filter(docs, least))
 
@@ -149,7 +149,10 @@ def dropped_keys(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_
     confirmed = stored(counted.where(F.col("n") >= documents).select("h1", "h2", "keeper"), "line-confirmed")
     lost = pairs.join(confirmed, ["h1", "h2"]).where("doc_id <> keeper")
     key = F.struct("h1", "h2")
-    return lost.groupBy("doc_id").agg(F.collect_set(key).alias("keys"))
+    out = stored(lost.groupBy("doc_id").agg(F.collect_set(key).alias("keys")), "line-lost")
+    discard(pairs)
+    discard(confirmed)
+    return out
 
 
 def line_dedup(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_DOCUMENTS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -163,7 +166,7 @@ def line_dedup(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_DO
     own = texts(docs)
     rest = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("boolean")
     whole = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), rest.alias("rest"))
-    lost = stored(dropped_keys(own, least, documents), "line-lost")
+    lost = dropped_keys(own, least, documents)
     n = lost.count()
     affected, untouched = whole, None
     if n <= min(FILTERED, FEW * own.count()):
