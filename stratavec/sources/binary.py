@@ -27,7 +27,7 @@ NA_LOW_WORD = 1954
 NA_REAL_BITS = 0x7FF00000_000007A2
 
 BATCH = 1 << 18
-DEFAULT_PARTITION_ELEMENTS = 8 << 20
+PARTITION_ELEMENTS = 1 << 20, 8 << 20  # least and most of a partition; between them, one for each core
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -94,7 +94,7 @@ class Slice(InputPartition):
 class BinaryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.kind = options["path"], options["kind"]
-        self.step = int(options.get("elements_per_partition", DEFAULT_PARTITION_ELEMENTS))
+        self.step = int(options.get("elements_per_partition", PARTITION_ELEMENTS[1]))
         self.start, self.stop = int(options.get("start", 0)), int(options.get("stop", -1))
 
     def partitions(self):
@@ -149,12 +149,15 @@ class VectorBinary(DataSource):
         return (FilteringBinaryReader if self.options.get("push") == "true" else BinaryReader)(dict(self.options))
 
 
-def read(spark: SparkSession, path: str, kind: str, elements_per_partition: int = DEFAULT_PARTITION_ELEMENTS) -> Vector:
+def read(spark: SparkSession, path: str, kind: str, elements_per_partition: int | None = None) -> Vector:
     """The file as a vector, scanned lazily and in parallel; slices scan only their range."""
     kind = V.canonical(kind)
     if kind not in ELEMENT:
         raise V.VectorTypeError(f"{kind} vectors have no binary form")
     n = element_count(path, kind)
+    if elements_per_partition is None:
+        least, most = PARTITION_ELEMENTS
+        elements_per_partition = min(most, max(least, -(-n // spark.sparkContext.defaultParallelism)))
     spark.dataSource.register(VectorBinary)
     push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
 
