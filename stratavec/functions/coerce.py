@@ -74,6 +74,11 @@ def real_to_text(x: Column) -> Column:
     return F.when(F.isnan(x), "NaN").when(x == float("inf"), "Inf").when(x == float("-inf"), "-Inf").otherwise(number)
 
 
+def part_to_text(x: Column) -> Column:
+    """A part of a complex number: whole numbers of up to 15 digits have no exponent, others are as :func:`real_to_text` has them."""
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.try_cast("bigint").cast("string")).otherwise(real_to_text(x))
+
+
 def cast(source: str, target: str, a: Column) -> Column:
     """The column of vector type source as vector type target; missing stays missing.
 
@@ -94,7 +99,7 @@ def cast(source: str, target: str, a: Column) -> Column:
             return F.when(whole, real_to_int(re))
         if target == "logical":
             return F.when(whole, (re != 0) | (im != 0))
-        shown = F.concat(real_to_text(re), F.when(im >= 0, "+").otherwise(""), real_to_text(im), F.lit("i"))
+        shown = F.concat(part_to_text(re), F.when(im >= 0, "+").otherwise(""), part_to_text(im), F.lit("i"))
         return F.when(whole, shown)
     if source == "character":
         return {"logical": text_to_logical, "integer": lambda s: real_to_int(text_to_real(s)), "numeric": text_to_real, "complex": text_to_complex}[target](a)

@@ -307,3 +307,10 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["v"] for r in spark.table("mapped").collect()) == sorted(-(-k % 3) for k in range(10))
+
+
+def test_complex_texts_have_plain_whole_parts(spark):
+    z = from_values(spark, [100000 - 2j, 900000 + 1.5j, -200000 + 1e15j, 1e5 - 1e-5j, 0.1 + 0j, None], "complex")
+    texts = z.cast("character")
+    assert texts.collect() == ["100000-2i", "900000+1.5i", "-200000+1e+15i", "100000-1e-05i", "0.1+0i", None]
+    assert [t and tuple(t) for t in texts.cast("complex").collect()] == [(100000, -2), (900000, 1.5), (-200000, 1e15), (100000, -1e-5), (0.1, 0), None]
