@@ -6,6 +6,11 @@ frames are joined on position; a shorter operand is recycled by a join on ``(idx
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,10 +86,31 @@ class Vector:
         return [r["value"] for r in self.to_df().orderBy("idx").collect()]
 
     def __iter__(self):
-        """Elements in order, one partition at a time."""
+        """Elements in order, one partition at a time. The driver gets them all: :meth:`fold` loops where they are."""
         for r in self.to_df().orderBy("idx").toLocalIterator():
             yield r["value"]
 
+    def fold(self, start, step: Callable, join: Callable):
+        """A loop over all elements in order, on the executors; only one state a task comes to the driver.
+
+        Each task has a run of elements and does ``state = step(state, idx, value)`` for one after another, from
+        ``start`` on; ``join(state, next)`` puts the states of neighbouring runs together, in order. So start must be
+        neutral for join. States are pickled; complex values are dicts of re and im.
+        """
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, first = start, None
+            for batch in batches:
+                at, values = (c.to_pylist() for c in batch.columns)
+                first = at[0] if first is None and at else first
+                for k, v in zip(at, values):
+                    state = step(state, k, v)
+            if first is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], ["first", "state"])
+
+        runs = self.to_df().orderBy("idx").mapInArrow(run, "first bigint, state binary").collect()
+        return reduce(join, (pickle.loads(r["state"]) for r in sorted(runs, key=lambda r: r["first"])), start)
+
     # -- element-wise -----------------------------------------------------------------------------
     def map(self, value: Column, kind: str) -> "Vector":
         return Vector(self.frame, value, kind, self._length, self.names, self.dim)

@@ -548,9 +548,7 @@ def length(spark, d):
 
 @query("element_loop", f"SELECT CAST(sum(idx * (i + 501)) AS BIGINT) AS weighted, count(*) AS n FROM {_ORDERS}")
 def element_loop(spark, d):
-    total = n = 0
-    for k, v in enumerate(_orders(spark, d, "i"), 1):
-        total, n = total + k * (v + 501), n + 1
+    total, n = _orders(spark, d, "i").fold((0, 0), lambda s, k, v: (s[0] + k * (v + 501), s[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]))
     return spark.createDataFrame([(total, n)], "weighted bigint, n bigint")
 
 

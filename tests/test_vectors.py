@@ -314,3 +314,22 @@ def test_complex_texts_have_plain_whole_parts(spark):
     texts = z.cast("character")
     assert texts.collect() == ["100000-2i", "900000+1.5i", "-200000+1e+15i", "100000-1e-05i", "0.1+0i", None]
     assert [t and tuple(t) for t in texts.cast("complex").collect()] == [(100000, -2), (900000, 1.5), (-200000, 1e15), (100000, -1e-5), (0.1, 0), None]
+
+
+def test_fold_loops_in_order_on_executors(spark):
+    x = generate.sequence(spark, 1, 5000)
+    shuffled = vec.Vector(x.frame.repartition(7), x.value, "integer")
+    pairs = shuffled.fold([], lambda s, k, v: [*s[-3:], (k, v)], lambda a, b: a + b)
+    assert pairs[-1] == (5000, 5000) and pairs == sorted(pairs)
+    assert shuffled.fold((), lambda s, k, v: (*s, v), lambda a, b: a + b) == tuple(range(1, 5001))
+    assert generate.constant(spark, "numeric", 0).fold(0, lambda s, k, v: s + 1, operator.add) == 0
+
+
+def test_element_loop_sends_states_only(spark, monkeypatch):
+    from stratavec.plans import catalog
+
+    def refuse(self):
+        raise AssertionError("the driver asks for every element")
+
+    monkeypatch.setattr(vec.Vector, "__iter__", refuse)
+    assert catalog.element_loop(spark, "/root/testdata/sf0.001").first()["n"] == 1500
