@@ -30,13 +30,14 @@ from stratavec.llm.common import discard, split_words, stored, texts
 STATES = 8
 HEAVY = 32_768
 BUCKETS = 16_384
+CLASS = np.dtype("<u2")  # holds all classes, of which there are at most HEAVY + BUCKETS
 GAIN = 0.002  # passes over all training documents go on until the log-likelihood gains no more than this a token
 START_PASSES = 20  # passes of starting_point over sequences held at once; fit doesn't use it
 LEAN = 0.25  # shape of the gamma weights by which states prefer words at first: the smaller, the further apart
 PRIOR = 2_000.0  # tokens' worth of the corpus's own class frequencies that each state has seen
 SCALED = 8  # steps between scalings: probabilities of so many tokens together stay far from underflow
 BATCH = 1 << 19  # tokens of one recursion (or one document)
-HELD = 1 << 21  # tokens of documents whose lengths are sorted together (or one document)
+HELD = 1 << 21  # tokens of documents whose lengths are sorted together, and one document more
 BLOCK = 16 << 20  # bytes of texts that are split and scored together (or one document)
 
 
@@ -146,7 +147,8 @@ def forward(model: Model, ids: list[np.ndarray], backward: bool = False):
     for rank, i in enumerate(order.tolist()):
         flat[starts[: len(ids[i])] + rank] = ids[i]
     emit = (model.emit / top[:, None]).take(flat, axis=0)
-    alpha, trans, logs = np.empty_like(emit), np.ascontiguousarray(model.trans), np.array([log_top[ids[i]].sum() for i in order])
+    alpha, trans = np.empty_like(emit), np.ascontiguousarray(model.trans)
+    logs = np.add.reduceat(log_top[np.concatenate([ids[i] for i in order.tolist()])], np.cumsum(sizes) - sizes)
     np.multiply(emit[: edges[1]], model.start, out=alpha[: edges[1]])
     for t in range(1, len(alive)):
         a, b = edges[t], edges[t + 1]
@@ -157,13 +159,15 @@ def forward(model: Model, ids: list[np.ndarray], backward: bool = False):
             total = now @ ones
             now /= total[:, None]
             logs[: b - a] += np.log(total)
-    logs += np.log(alpha[starts[sizes - 1] + np.arange(len(ids))] @ ones)
+    ends = starts[sizes - 1] + np.arange(len(ids))
+    logs += np.log(alpha[ends] @ ones)
     out = np.empty(len(ids))
     out[order] = logs
     if not backward:
         return out, None
     # beta is 1 at every sequence's end; emit becomes emission times beta, shrunk holds the scales of beta
-    beta, shrunk, back = np.ones_like(emit), np.ones(len(flat), emit.dtype), np.ascontiguousarray(model.trans.T)
+    beta, shrunk, back = np.empty_like(emit), np.ones(len(flat), emit.dtype), np.ascontiguousarray(model.trans.T)
+    beta[ends] = 1
     for t in range(len(alive) - 2, -1, -1):
         a, b, c = edges[t], edges[t + 1], edges[t + 2]
         weighted, now = emit[b:c], beta[a : a + c - b]
@@ -177,11 +181,14 @@ def forward(model: Model, ids: list[np.ndarray], backward: bool = False):
     inverse = 1 / (beta @ ones)
     beta *= inverse[:, None]
     alpha *= (inverse / shrunk)[:, None]
-    earlier = np.arange(edges[1], len(flat)) - np.repeat(alive[:-1], alive[1:])
-    moves = model.trans * (alpha.take(earlier, axis=0).T @ emit[edges[1] :])
-    cells = (flat.astype(np.int64) * model.states)[:, None] + np.arange(model.states)
-    classes = np.bincount(cells.ravel(), beta.ravel(), model.emit.size).reshape(model.emit.shape)
-    return out, (beta[: edges[1]].sum(0, dtype=float), moves.astype(float), classes)
+    # a token's predecessor is as many places before it as there were sequences then: alike over runs of steps
+    moves, cuts = np.zeros(trans.shape), (np.flatnonzero(np.diff(alive[:-1])) + 2).tolist()
+    for t, last in zip([1, *cuts], [*cuts, len(alive)]):
+        a, b, back_by = edges[t], edges[last], edges[t] - edges[t - 1]
+        moves += alpha[a - back_by : b - back_by].T @ emit[a:b]
+    places = flat.astype(np.int64)
+    classes = np.stack([np.bincount(places, beta[:, k], len(model.emit)) for k in range(model.states)], 1)
+    return out, (beta[: edges[1]].sum(0, dtype=float), model.trans * moves, classes)
 
 
 def maximised(start: np.ndarray, moves: np.ndarray, classes: np.ndarray, v: Vocabulary) -> Model:
@@ -232,15 +239,33 @@ def _sequences(batches: Iterator[pa.RecordBatch], heavy: pa.Array) -> Iterator[l
 
 
 def numbered(train: DataFrame, v: Vocabulary) -> DataFrame:
-    """ids: the classes of every document's tokens."""
+    """ids: the classes of every document's tokens, 16-bit numbers as bytes: Spark hands them on as they are."""
     shared = train.sparkSession.sparkContext.broadcast(v.heavy)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _sequences(batches, shared.value):
-            ends = np.cumsum([0, *(len(x) for x in own)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).astype(np.int32)))], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(CLASS).tobytes() for x in own], pa.binary())], ["ids"])
 
-    return train.mapInArrow(ids, "ids array<int>")
+    return train.mapInArrow(ids, "ids binary")
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[list[np.ndarray]]:
+    """Sequences for one recursion each. Of those held, the longest wait for others as long: a step then takes more of them."""
+    ids, size = [], 0
+    for batch in batches:
+        for x in batch.column(0):
+            ids.append(np.frombuffer(x.as_buffer(), CLASS))
+            size += len(ids[-1])
+            if size > most:
+                *ready, ids = ([ids[i] for i in own] for own in _batches(ids))
+                yield from ready
+                ids = [x.copy() for x in ids]  # not their batches with them
+                if sum(map(len, ids)) > BATCH:
+                    yield ids
+                    ids = []
+                size = sum(map(len, ids))
+    for own in _batches(ids):
+        yield [ids[i] for i in own]
 
 
 def one_pass(sequences: DataFrame, model: Model, v: Vocabulary) -> tuple[Model, float]:
@@ -252,28 +277,12 @@ def one_pass(sequences: DataFrame, model: Model, v: Vocabulary) -> tuple[Model,
     shared = spark.sparkContext.broadcast(Model(*(x.astype(np.float32) for x in (model.start, model.trans, model.emit))))
     names = [f"s{i}" for i in range(k)]
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        ids, size = [], 0
-        for batch in batches:
-            column = batch.column(0)
-            ends = np.cumsum(np.asarray(column.value_lengths()))
-            own = np.split(np.asarray(column.flatten()), ends[:-1]) if len(ends) else []
-            for x in own:
-                if ids and size + len(x) > HELD:
-                    yield ids
-                    ids, size = [], 0
-                ids.append(x)
-                size += len(x)
-        if ids:
-            yield ids
-
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total, likely = shared.value, None, 0.0
-        for ids in held(batches):
-            for own in _batches(ids):
-                logs, got = forward(m, [ids[i] for i in own], True)
-                likely += logs.sum()
-                total = got if total is None else tuple(a + b for a, b in zip(total, got))
+        for own in _held(batches):
+            logs, got = forward(m, own, True)
+            likely += logs.sum()
+            total = got if total is None else tuple(a + b for a, b in zip(total, got))
         if total:
             start, moves, classes = total
             seen = np.flatnonzero(classes.any(1))

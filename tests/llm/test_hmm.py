@@ -170,3 +170,26 @@ def test_words():
             d = e.distinct.to_pylist()
             got += [[d[i].encode() for i in x] for x in np.split(e.index, np.cumsum(e.lengths)[:-1])]
         assert got == [[*(t or "").encode().lower().split(), b""] for t in rows]
+
+
+def test_every_sequence_is_in_one_recursion():
+    rng = np.random.default_rng(5)
+    lengths = [*rng.integers(1, 60, 300), 3 * hmm.BATCH, *rng.integers(1, 2000, 300), 7]
+    given = [np.full(n, k, hmm.CLASS) for k, n in enumerate(lengths)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in given[k : k + 50]], pa.binary())], ["ids"]) for k in range(0, len(given), 50)]
+    for most in (1, 20_000, hmm.HELD):
+        got = list(hmm._held(iter(batches), most))
+        assert sorted((int(x[0]), len(x)) for own in got for x in own) == [(k, n) for k, n in enumerate(lengths)]
+        assert all((x == x[0]).all() for own in got for x in own) and all(len(own) == 1 or sum(map(len, own)) <= hmm.BATCH for own in got)
+    assert hmm.HEAVY + hmm.BUCKETS <= np.iinfo(hmm.CLASS).max + 1
+
+
+def test_moves_of_uneven_sequences():
+    rng = np.random.default_rng(6)
+    m = hmm.by_chance(hmm.Vocabulary(pa.array([], pa.string()), 100, 9, rng.random(9), np.zeros(9), np.zeros(9)), 3)
+    xs = [rng.integers(0, 9, n) for n in (1, 7, 7, 3, 30, 1, 12)]
+    whole, parts = hmm.forward(m, xs, True), [hmm.forward(m, [x], True) for x in xs]
+    assert np.allclose(whole[0], [p[0][0] for p in parts])
+    for got, each in zip(whole[1], zip(*(p[1] for p in parts))):
+        assert np.allclose(got, sum(each))
+    assert np.isclose(whole[1][1].sum(), sum(len(x) - 1 for x in xs))
