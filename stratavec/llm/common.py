@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -112,6 +114,34 @@ def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1
 
 
+@lru_cache(1)
+def _trim() -> Callable | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory that is free within this process back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run for mapInArrow, whose worker gives its free memory back after each task.
+
+    Spark keeps workers for later tasks; beside the JVM, what they keep counts against the executor's memory.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return own
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered for up to ``most`` words."""
 

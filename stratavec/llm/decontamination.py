@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import WordHashes, mix, texts
+from stratavec.llm.common import WordHashes, lean, mix, texts
 
 MASKS = ("1101010011", "1000101111", "1111100001", "1101011001")
 SHORT_MASKS = ("111011", "1100111")  # for items of up to SHORT words, which MASKS don't hit with a fifth differing
@@ -235,7 +235,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WOR
                 columns = list(zip(*((ids[d], int(shared.value.ids[i]), *rest) for d, i, *rest in got))) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in ddl.split(", ")])
 
-        part = own.mapInArrow(run, ddl)
+        part = own.mapInArrow(lean(run), ddl)
         out = part if out is None else out.union(part)
     return out
 
@@ -253,5 +253,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
                 clean[[m[0] for m in matches(shared.value, hashes)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import discard, filter_place, id_filter, in_filter, mix, sampled, shingles, split_words, stored, texts, word_hashes
+from stratavec.llm.common import discard, filter_place, id_filter, in_filter, lean, mix, sampled, shingles, split_words, stored, texts, word_hashes
 
 WORDS = 3  # words of a shingle
 PERCENT = 90
@@ -197,7 +197,7 @@ def allocation(docs: DataFrame, bands: Bands, n: int, total: int) -> dict[int, i
             best = min(best, (cost, twos))
         return pa.table({"band": [band], "twos": [best[1]]})
 
-    rows = sampled(docs, SAMPLE, total).mapInArrow(sizes, "band bigint, shingles array<bigint>")
+    rows = sampled(docs, SAMPLE, total).mapInArrow(lean(sizes), "band bigint, shingles array<bigint>")
     return {r["band"]: r["twos"] for r in rows.groupBy("band").applyInArrow(measure, "band bigint, twos bigint").collect()}
 
 
@@ -214,7 +214,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             h = _set_hashes(sets)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "n_shingles", "h1", "h2"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint")
+    return docs.mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint")
 
 
 def groups_of(docs: DataFrame, bands: Bands, plan: dict[int, int], n: int) -> DataFrame:
@@ -270,9 +270,9 @@ def groups_of(docs: DataFrame, bands: Bands, plan: dict[int, int], n: int) -> Da
             pairs = np.unique(np.stack([p, flat], 1)[p != flat], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["pivot", "doc_id"])
 
-    rows = docs.where("doc_id is not null").mapInArrow(local, "sig bigint, docs array<bigint>")
+    rows = docs.where("doc_id is not null").mapInArrow(lean(local), "sig bigint, docs array<bigint>")
     dealt = rows.repartition("sig").withColumn("low", F.col("docs")[0]).sortWithinPartitions("sig", "low").select("sig", "docs")
-    return dealt.mapInArrow(star, "pivot bigint, doc_id bigint").distinct()
+    return dealt.mapInArrow(lean(star), "pivot bigint, doc_id bigint").distinct()
 
 
 def grouped_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -288,7 +288,7 @@ def grouped_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     ddl = "doc_id bigint, n_shingles bigint, sketch binary, shingles array<bigint>"
     if count > FILTERED:
-        return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, ddl)
+        return docs.join(ids, "doc_id", "left_semi").mapInArrow(lean(run), ddl)
     bits = max(20, (16 * count).bit_length())
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, bits))
 
@@ -296,7 +296,7 @@ def grouped_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_filter(shared.value, np.asarray(batch.column(2))))).select([0, 1])
 
-    return docs.select("doc_id", "text", filter_place(bits)).mapInArrow(lambda batches: run(chosen(batches)), ddl)
+    return docs.select("doc_id", "text", filter_place(bits)).mapInArrow(lean(lambda batches: run(chosen(batches))), ddl)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands, few: bool = False) -> DataFrame:
@@ -326,7 +326,7 @@ def plausible(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "k_a", "n_b", "k_b")
     sized = F.abs(F.col("n_a") - F.col("n_b")) * (100 + bands.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - bands.percent)
-    return both.where(sized).mapInArrow(run, "a bigint, b bigint, near bigint")
+    return both.where(sized).mapInArrow(lean(run), "a bigint, b bigint, near bigint")
 
 
 def roots(forest: DataFrame) -> DataFrame:

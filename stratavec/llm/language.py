@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import discard, mix, remainder, stored, texts
+from stratavec.llm.common import discard, lean, mix, remainder, stored, texts
 
 SIZES = (2, 3, 4)  # n-gram lengths
 ROWS = 1 << 20
@@ -163,7 +163,7 @@ def fit(docs: DataFrame) -> Model:
                         grams, counts = np.unique(h[real], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(grams)), pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), n, np.int32)), pa.array(counts)], ["lang", "h", "n", "c"])
 
-    counts = chosen.select("lang", "text").mapInArrow(count, "lang string, h bigint, n int, c bigint").groupBy("lang", "h", "n").agg(F.sum("c").alias("c"))
+    counts = chosen.select("lang", "text").mapInArrow(lean(count), "lang string, h bigint, n int, c bigint").groupBy("lang", "h", "n").agg(F.sum("c").alias("c"))
     counts = stored(counts, "ngrams")
     totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("t"))
     share = counts.join(F.broadcast(totals), ["lang", "n"]).withColumn("share", F.col("c") / F.col("t")).where(F.col("share") >= LEAST_SHARE)
@@ -212,7 +212,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             lang, share, known = shared.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.array(known, pa.float64())], ["doc_id", "lang_pred", "score", "known"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double, known double")
+    return texts(docs).mapInArrow(lean(run), "doc_id bigint, lang_pred string, score double, known double")
 
 
 #: Documents are rejected if the best language knows a smaller share of their n-grams.
@@ -228,4 +228,4 @@ def accepted(docs: DataFrame, model: Model, least_known: float = LEAST_KNOWN) ->
             lang, _, known = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != "und" and k >= least_known for x, k in zip(lang, known)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import discard, filter_place, id_filter, in_filter, stored, texts
+from stratavec.llm.common import discard, filter_place, id_filter, in_filter, lean, stored, texts
 
 SHARDS = 64
 LEAST_BITS, MOST_BITS = 14, 24  # bits of a shard as a power of two
@@ -111,8 +111,8 @@ def repeated_filter(docs: DataFrame, least: int = MIN_POINTS) -> np.ndarray:
                 once[s] |= new
         yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array([x.tobytes() for x in twice.values()], pa.binary())], ["shard", "bits"])
 
-    parts = docs.where("doc_id is not null").mapInArrow(fill, "shard int, once binary, twice binary")
-    folded = parts.repartition(SHARDS, "shard").mapInArrow(fold, "shard int, bits binary")
+    parts = docs.where("doc_id is not null").mapInArrow(lean(fill), "shard int, once binary, twice binary")
+    folded = parts.repartition(SHARDS, "shard").mapInArrow(lean(fold), "shard int, bits binary")
     out = np.zeros((SHARDS, (1 << size) // 8), np.uint8)
     for r in folded.collect():  # SHARDS rows of bounded size
         out[r["shard"]] = np.frombuffer(r["bits"], np.uint8)
@@ -144,7 +144,7 @@ def dropped_keys(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_
                 h = np.concatenate(found).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "h1", "h2"])
 
-    pairs = stored(docs.mapInArrow(suspects, "doc_id bigint, h1 bigint, h2 bigint"), "line-suspects")
+    pairs = stored(docs.mapInArrow(lean(suspects), "doc_id bigint, h1 bigint, h2 bigint"), "line-suspects")
     counted = pairs.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
     confirmed = stored(counted.where(F.col("n") >= documents).select("h1", "h2", "keeper"), "line-confirmed")
     lost = pairs.join(confirmed, ["h1", "h2"]).where("doc_id <> keeper")
@@ -197,5 +197,5 @@ def line_dedup(docs: DataFrame, least: int = MIN_POINTS, documents: int = MIN_DO
                 kept.append(text if len(left) == len(lines) else b"\n".join(left).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), batch.column(3)], ["doc_id", "text", "n_lines", "n_dropped", "rest"])
 
-    out = joined.mapInArrow(cut, f"doc_id bigint, text string, n_lines bigint, n_dropped bigint, rest {joined.schema['rest'].dataType.simpleString()}")
+    out = joined.mapInArrow(lean(cut), f"doc_id bigint, text string, n_lines bigint, n_dropped bigint, rest {joined.schema['rest'].dataType.simpleString()}")
     return out if untouched is None else out.union(untouched)

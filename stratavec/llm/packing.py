@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from stratavec.llm.common import texts
+from stratavec.llm.common import lean, release, texts
 
 CAPACITY = 2048
 PIECE = 512
@@ -75,7 +75,7 @@ def encoder(path: str):
     """text -> ids by the vocabulary file, as the tokenizers library gives them without special tokens added.
 
     The file's merges are ranked by id, so the ids are the library's (tests compare them); the rank encoder needs a
-    third of its time. Texts of the file's special tokens have these tokens' ids, as in the library; it takes over
+    third of its time and the library's own is only loaded when needed. Texts of the file's special tokens have these tokens' ids, as in the library; it takes over
     for a text that the rank encoder can't do.
     """
     import public_tokenizers
@@ -93,7 +93,7 @@ def encoder(path: str):
     table |= dict(zip(sorted(set(shown) - set(plain)), rest))
     ranks = {_bytes_of(t, table): i for t, i in vocabulary.items() if t not in special and all(c in table for c in t)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    slow = Tokenizer.from_file(path)
+    slow = lru_cache(1)(lambda: Tokenizer.from_file(path))
 
     def encode(text: str) -> list[int]:
         try:
@@ -105,8 +105,10 @@ def encoder(path: str):
             raise
         except BaseException:  # the extension reports its limits (very long runs) as a panic
             pass
-        return slow.encode(text, add_special_tokens=False).ids
+        return slow().encode(text, add_special_tokens=False).ids
 
+    del file, vocabulary, ranks
+    release()
     return encode
 
 
@@ -169,4 +171,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, pie
             yield full()
 
     ddl = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint"
-    return texts(docs).mapInArrow(run, ddl + (", ids array<int>" if with_ids else ""))
+    return texts(docs).mapInArrow(lean(run), ddl + (", ids array<int>" if with_ids else ""))
